@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..profile import SearchProfile
-from .text import any_of, has_any, has_word, matches_any, no, normalise
+from .text import (stands_alone, has_any, has_any_word, matches_any, mentions, no, normalise, quoted, terms,
+                   words_in)
 
 
 def _literal_map(pairs) -> Column:
-    return F.create_map(*[F.lit(x) for kv in pairs for x in kv])
+    return F.from_json(F.lit(json.dumps(dict(pairs))), "map<string,string>")
 
 
 def country_aliases() -> list[tuple[str, str]]:
@@ -36,10 +39,21 @@ def resolve_regions(df: DataFrame, col: str, out: str = "regions") -> DataFrame:
     return df.withColumn(out, F.coalesce(regions_of(F.col(col)), F.array().cast("array<string>")))
 
 
+def _home_pattern(prof: SearchProfile) -> str:
+    """Short terms stand alone as words; longer ones and cities count anywhere."""
+    short = "|".join(quoted(t) for t in prof.home_terms if len(t) <= 3)
+    rest = [quoted(t) for t in prof.home_terms if len(t) > 3] + [quoted(t) for t in prof.home_city_terms]
+    return "|".join(([f"(?<![a-z0-9])(?:{short})(?![a-z0-9])"] if short else []) + rest)
+
+
 def mentions_home(c: Column, prof: SearchProfile) -> Column:
-    short = [has_word(c, t) for t in prof.home_terms if len(t) <= 3]
-    plain = [c.contains(t) for t in prof.home_terms if len(t) > 3]
-    return any_of(short + plain + [c.contains(city) for city in prof.home_city_terms])
+    pattern = _home_pattern(prof)
+    return c.rlike(pattern) if pattern else no()
+
+
+def text_mentions_home(c: Column, prof: SearchProfile) -> Column:
+    """For long stored text: substring tests first."""
+    return has_any(c, prof.home_terms + prof.home_city_terms) & mentions_home(c, prof)
 
 
 def home_mentioned(df: DataFrame, col: str, prof: SearchProfile, out: str = "home_mentioned") -> DataFrame:
@@ -54,16 +68,31 @@ def worldwide(df: DataFrame, col: str, out: str = "worldwide") -> DataFrame:
     return df.withColumn(out, is_worldwide(F.col(col)))
 
 
+def _confirmation_pattern(prof: SearchProfile) -> str:
+    """Every confirmation is a lead-in or a tail around a home term, so the phrases of all
+    terms fold into two alternations."""
+    def fold(forms, names):
+        names = "|".join(map(quoted, names))
+        leads = "|".join(quoted(f[:-3]) for f in forms if f.endswith("{t}"))
+        tails = "|".join(quoted(f[3:]) for f in forms if f.startswith("{t}"))
+        return [f"(?:{leads})(?:{names})", f"(?:{names})(?:{tails})"] if names else []
+    plain = [t for t in prof.home_terms if t not in fv.AMBIGUOUS_TERMS]
+    return "|".join(fold(fv.ANCHORED_CONFIRMATIONS, prof.home_terms) + fold(fv.LOOSE_CONFIRMATIONS, plain))
+
+
 def strongly_home(hay: Column, header: Column, prof: SearchProfile) -> Column:
-    return mentions_home(header, prof) | has_any(hay, prof.confirmations)
+    if not prof.home_terms:
+        return mentions_home(header, prof)
+    said = has_any(hay, prof.home_terms) & hay.rlike(_confirmation_pattern(prof))
+    return mentions_home(header, prof) | said
 
 
 def explicitly_home(hay: Column, header: Column, prof: SearchProfile) -> Column:
     """Strong evidence, or one sentence naming home in a hiring context that is not just
     an office address. Sentences are only cut when the text names home at all."""
     by_sentence = F.exists(F.split(hay, r"[.!?;\n]+"), lambda s: (
-        mentions_home(s, prof) & ~has_any(s, prof.incidental) & has_any(s, fv.ELIGIBILITY_CONTEXT)))
-    return strongly_home(hay, header, prof) | (mentions_home(hay, prof) & by_sentence)
+        mentions_home(s, prof) & ~mentions(s, prof.incidental) & mentions(s, fv.ELIGIBILITY_CONTEXT)))
+    return strongly_home(hay, header, prof) | (text_mentions_home(hay, prof) & by_sentence)
 
 
 def home_eligible(df: DataFrame, prof: SearchProfile, hay: str = "r_hay", header: str = "r_header") -> DataFrame:
@@ -82,10 +111,9 @@ def foreign_terms(spark, prof: SearchProfile) -> DataFrame:
 
 def named_foreign(c: Column, prof: SearchProfile) -> Column:
     """First foreign country term (list order) standing in the text or opening it."""
-    terms = prof.foreign_terms
-    if not terms:
+    if not prof.foreign_terms:
         return F.lit(None).cast("string")
-    return F.coalesce(*[F.when(has_word(c, t) | c.startswith(t), F.lit(t)) for t in terms])
+    return F.get(F.filter(terms(prof.foreign_terms), lambda t: c.startswith(t) | stands_alone(c, t)), F.lit(0))
 
 
 def _metro_city(c: Column) -> Column:

@@ -32,28 +32,33 @@ def amounts(c: Column) -> Column:
     return F.transform(kept, lambda t: F.regexp_replace(t["n"], r"[,\s]", "").cast("double") * factor(t))
 
 
-def parsed_pay(c: Column) -> Column:
-    """Struct of annual and daily bounds read from free text."""
-    values, low = amounts(c), F.lower(c)
+def once(value: Column, use) -> Column:
+    """use(value) with the value worked out a single time."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    def within(lo, hi):
-        return F.filter(values, lambda v: v.between(lo, hi))
 
-    hourly, daily, annual = within(8, 500), within(80, 4000), within(12000, 1000000)
-    is_hourly = low.rlike(fv.HOURLY_WORDS) & (F.size(hourly) > 0)
-    is_daily = low.rlike(fv.DAY_RATE_WORDS) & (F.size(daily) > 0)
+def parsed_pay(c: Column) -> Column:
+    """Struct of annual and daily bounds read from free text."""
     none = F.lit(None).cast("double")
+    low = F.lower(c)
 
-    def pay(smin, smax, dmin, dmax):
+    def pay(currency, smin, smax, dmin, dmax):
         return F.struct(smin.alias("salary_min"), smax.alias("salary_max"),
-                        dmin.alias("day_rate_min"), dmax.alias("day_rate_max"),
-                        detect_currency(c).alias("currency"))
-
-    per_day = lambda v: F.bround(v * 8, 0)
-    return (F.when(F.coalesce(c, F.lit("")) == "", F.from_json(F.lit('{"currency":""}'), PAY_TYPE))
-            .when(is_hourly, pay(none, none, per_day(F.array_min(hourly)), per_day(F.array_max(hourly))))
-            .when(is_daily, pay(none, none, F.array_min(daily), F.array_max(daily)))
-            .otherwise(pay(F.array_min(annual), F.array_max(annual), none, none)))
+                        dmin.alias("day_rate_min"), dmax.alias("day_rate_max"), currency.alias("currency"))
+
+    def read(found):
+        values, currency = found["values"], found["currency"]
+        within = lambda lo, hi: F.filter(values, lambda v: v.between(lo, hi))
+        hourly, daily, annual = within(8, 500), within(80, 4000), within(12000, 1000000)
+        per_day = lambda v: F.bround(v * 8, 0)
+        return (F.when(found["hourly"] & (F.size(hourly) > 0),
+                       pay(currency, none, none, per_day(F.array_min(hourly)), per_day(F.array_max(hourly))))
+                .when(found["daily"] & (F.size(daily) > 0), pay(currency, none, none, F.array_min(daily), F.array_max(daily)))
+                .otherwise(pay(currency, F.array_min(annual), F.array_max(annual), none, none)))
+
+    found = F.struct(amounts(c).alias("values"), detect_currency(c).alias("currency"),
+                     low.rlike(fv.HOURLY_WORDS).alias("hourly"), low.rlike(fv.DAY_RATE_WORDS).alias("daily"))
+    return F.when(F.coalesce(c, F.lit("")) == "", F.from_json(F.lit('{"currency":""}'), PAY_TYPE)).otherwise(once(found, read))
 
 
 def parse_pay(df: DataFrame, col: str, out: str = "pay") -> DataFrame:

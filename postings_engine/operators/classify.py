@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
-from ..functions.text import (any_of, first_label, has_any, has_word, matches_any, no)
+from ..functions.text import first_label, has_any, has_word, matches_any, terms
 from ..profile import SearchProfile
 
 HAY, TITLE = "hay", "n_title"
@@ -45,7 +45,7 @@ def seniority(df: DataFrame, out: str = "seniority") -> DataFrame:
 def years_asked(c: Column) -> Column:
     found = F.flatten(F.array(*[F.regexp_extract_all(c, F.lit(p), F.lit(1)) for p in fv.YEARS]))
     usable = F.filter(F.transform(found, lambda x: x.cast("int")), lambda n: n.between(1, 25))
-    return F.when(c.rlike(r"\d\s*\+?\s*(?:(?:to|-|–)\s*\d{1,2}\s*)?year"), F.array_max(usable))
+    return F.when(c.contains("year"), F.array_max(usable))
 
 
 def required_years(df: DataFrame, out: str = "required_years") -> DataFrame:
@@ -83,11 +83,11 @@ def startup(df: DataFrame) -> DataFrame:
 def size_label(c: Column) -> Column:
     chain = None
     for pattern, label in fv.COMPANY_SIZE:
-        hit = c.rlike("(?i)" + pattern)
+        hit = matches_any(c, (pattern,))
         if label:
             value = F.lit(label)
         else:
-            n = F.regexp_extract(c, "(?i)" + pattern, 1).cast("int")
+            n = F.regexp_extract(c, pattern, 1).cast("int")
             value = F.when(n <= 10, "1-10").when(n <= 50, "11-50").when(n <= 200, "51-200").otherwise("201+")
         chain = F.when(hit, value) if chain is None else chain.when(hit, value)
     return chain.when(c.contains("startup") | c.contains("start-up"), "Startup (small)").otherwise("Unknown")
@@ -99,7 +99,7 @@ def company_size(df: DataFrame, out: str = "company_size") -> DataFrame:
 
 def partnership(df: DataFrame, out: str = "is_partnership") -> DataFrame:
     hay = F.col(HAY)
-    hits = sum((hay.contains(s).cast("int") for s in fv.PARTNERSHIP_SIGNALS), F.lit(0))
+    hits = F.size(F.filter(terms(fv.PARTNERSHIP_SIGNALS), lambda t: hay.contains(t)))
     strong = has_any(hay, fv.STRONG_PARTNERSHIP_SIGNALS) & F.col("employment_type").isin("Contract", "Freelance", "Unknown")
     return df.withColumn(out, (hits >= 2) | strong)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions.dates import posted_timestamp
-from ..functions.text import (bare_host, has_any, html_to_text, no, strip_space, truncated,
+from ..functions.text import (bare_host, html_to_text, mentions, no, records, strip_space, truncated,
                               unescape_entities, url_host, url_path, url_scheme)
 
 _BLANK = F.lit
@@ -22,8 +22,8 @@ def best_email(c: Column) -> Column:
                           lambda e: F.regexp_replace(e, r"^[.,;:]+|[.,;:]+$", ""))
     low = F.lower
     usable = F.filter(trimmed, lambda e: ~low(e).rlike(r"\.(?:" + "|".join(s[1:] for s in fv.ASSET_SUFFIXES) + ")$")
-                      & ~has_any(low(e), fv.UNUSABLE_EMAIL_PARTS))
-    preferred = F.filter(usable, lambda e: has_any(low(e), fv.PREFERRED_EMAIL_PARTS))
+                      & ~mentions(low(e), fv.UNUSABLE_EMAIL_PARTS))
+    preferred = F.filter(usable, lambda e: mentions(low(e), fv.PREFERRED_EMAIL_PARTS))
     return F.when(c.contains("@"), F.coalesce(F.get(preferred, F.lit(0)), F.get(usable, F.lit(0)), F.lit(""))).otherwise("")
 
 
@@ -63,7 +63,7 @@ def extract_person(df: DataFrame, col: str = "description") -> DataFrame:
 
 def is_aggregator(url: Column) -> Column:
     host = bare_host(url)
-    return (host == "") | has_any(host, fv.AGGREGATOR_HOSTS)
+    return (host == "") | mentions(host, fv.AGGREGATOR_HOSTS)
 
 
 def _own_url(c: Column) -> Column:
@@ -76,7 +76,7 @@ def employer_site(df: DataFrame, out: str = "company_website") -> DataFrame:
     Needs public_email."""
     origin = lambda u: F.when(url_scheme(u) != "", F.concat(url_scheme(u), F.lit("://"), url_host(u)))
     domain = F.lower(F.regexp_extract("public_email", "@([^@]*)$", 1))
-    own_domain = domain.contains(".") & ~has_any(domain, fv.AGGREGATOR_HOSTS) & ~domain.isin(*fv.FREE_MAILBOXES)
+    own_domain = domain.contains(".") & ~mentions(domain, fv.AGGREGATOR_HOSTS) & ~domain.isin(*fv.FREE_MAILBOXES)
     return df.withColumn(out, F.coalesce(
         blank_to_null(F.col("company_website")), origin(_own_url(F.col("apply_url"))), origin(_own_url(F.col("url"))),
         F.when(own_domain, F.concat(F.lit("https://"), domain)), F.lit("")))
@@ -144,8 +144,7 @@ def site_contacts(pages: DataFrame, careers: DataFrame | None = None) -> DataFra
     Only the listed paths are ever read, so a site contributes at most a dozen distinct
     URLs however many pages were crawled; repeats of one URL are reduced first."""
     url = F.regexp_replace(F.col("url"), r"/+$", "")
-    listed = F.array(*[F.struct(F.lit(p).alias("path"), F.lit(float(i)).alias("rank"))
-                       for i, p in enumerate(fv.SITE_PAGES)])
+    listed = records([{"path": p, "rank": float(i)} for i, p in enumerate(fv.SITE_PAGES)], "path:string,rank:double")
     pages = (pages.where(F.col("url").startswith("https://"))
              .select(F.regexp_extract(url, r"^(https://[^/?#]+)", 1).alias("site"), url.alias("page"), "html"))
     known = pages.select("*", F.filter(listed, lambda p: F.concat(F.col("site"), p["path"]) == F.col("page"))[0]["rank"]

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions.geo import country_of_location, is_worldwide
-from ..functions.text import (has_any, has_any_word, has_word, matches_any, no, normalise, quoted,
-                              unnegated_text)
+from ..functions.text import (has_any, has_any_word, mentions, no, normalise, quoted, terms, unnegated_text,
+                              words_in)
 from ..profile import SearchProfile
 
 
@@ -27,16 +27,16 @@ def market_gate(df: DataFrame, prof: SearchProfile, out: str = "market") -> Data
         return df.withColumn(out, gate(F.lit(True), F.lit(""), "low_rate_market"))
     loc, body = F.col("n_location"), F.col("n_body")
     names = "|".join(quoted(m) for m in markets)
-    named = F.coalesce(*[F.when(has_word(loc, m), F.lit(m)) for m in markets])
-    df = df.withColumn("_based", country_of_location(loc, prof))
+    named = F.get(words_in(loc, markets), F.lit(0))
+    df = df.select("*", country_of_location(loc, prof).alias("_based"), F.concat(loc, F.lit(" "), body).alias("_both"))
     by_city = F.when(F.col("_based").isin(*markets), F.col("_based"))
     in_location = F.when((loc != "") & ~is_worldwide(loc), F.coalesce(named, by_city))
     # the scope phrases all name a market, so a plain search for a name comes first
-    scope = F.when(body.rlike(names) & ~is_worldwide(F.concat(loc, F.lit(" "), body)),
+    scope = F.when(has_any(body, markets) & ~is_worldwide(F.col("_both")),
                    unnegated_text(body, [p.format(markets=names) for p in fv.MARKET_SCOPE]))
     hit = F.coalesce(in_location, scope)
     return df.withColumn(out, gate(hit.isNull(), F.concat(
-        F.lit("Scoped to a low-rate market ("), hit, F.lit(")")), "low_rate_market")).drop("_based")
+        F.lit("Scoped to a low-rate market ("), hit, F.lit(")")), "low_rate_market")).drop("_based", "_both")
 
 
 def headcount_of(c: Column) -> Column:
@@ -115,7 +115,7 @@ def score_gate(df: DataFrame, out: str = "score_check") -> DataFrame:
 def is_kept_prospect(prof: SearchProfile, title: Column) -> Column:
     reason, score = F.lower(F.coalesce(F.col("rejection_reason"), F.lit(""))), F.col("match_score")
     return (F.when(F.col("rejection_category") == "pay_unstated", score >= fv.MIN_QUALIFY_SCORE)
-            .when(~has_any(reason, fv.UNDETERMINED_MARKERS), score >= fv.PROSPECT_MIN_SCORE)
+            .when(~mentions(reason, fv.UNDETERMINED_MARKERS), score >= fv.PROSPECT_MIN_SCORE)
             .when(has_any_word(title, prof.core_terms), True)
             .otherwise(score >= fv.PROSPECT_UNVERIFIED_MIN_SCORE))
 
@@ -133,8 +133,12 @@ def latest_crawl(crawl: DataFrame) -> DataFrame:
 
 
 def closed_phrase(body: Column) -> Column:
-    text = normalise(F.substring(body, 1, 60000))
-    return F.coalesce(*[F.when(text.contains(m), F.lit(m)) for m in fv.CLOSED_MARKERS])
+    """First marker in list order. The page is normalised once and searched in one pass for
+    any marker; which one comes first in the list only matters for pages that have one."""
+    text = F.array(normalise(F.substring(body, 1, 60000)))
+    found = F.transform(text, lambda t: F.when(mentions(t, fv.CLOSED_MARKERS), F.get(
+        F.filter(terms(fv.CLOSED_MARKERS), lambda m: t.contains(m)), F.lit(0))))
+    return F.get(found, F.lit(0))
 
 
 def drop_closed(leads: DataFrame, crawl: DataFrame) -> DataFrame:

@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import (any_of, first_match_text, has_any, has_any_word, has_word, no,
-                              substring_count, word_count)
+from ..functions.text import (first_match_text, has_any, has_any_word, has_word, no, substring_count, terms,
+                              word_count, words_in)
 from ..profile import SearchProfile
 from ..registry import rule, rules
 
@@ -41,9 +41,8 @@ def _names_the_work(c):
 
 @rule("relevance_gate", 10)
 def excluded_title(c, prof):
-    hits = [F.when(has_word(c("n_title"), bad), F.lit(f"Title is out of scope ({bad})"))
-            for bad in prof.hard_title_exclusions]
-    return F.coalesce(*hits) if hits else F.lit(None).cast("string")
+    bad = F.get(words_in(c("n_title"), prof.hard_title_exclusions), F.lit(0))
+    return F.concat(F.lit("Title is out of scope ("), bad, F.lit(")"))
 
 
 @rule("relevance_gate", 20)
@@ -82,9 +81,11 @@ def strong_enough(c, prof):
 
 @rule("relevance_gate", 70)
 def competing_discipline(c, prof):
-    hits = [F.when(~c("core_title") & c("n_title").contains(stack), F.lit(f"Targets a different discipline ({stack})"))
-            for stack in prof.competing_stacks]
-    return F.coalesce(*hits) if hits else F.lit(None).cast("string")
+    if not prof.competing_stacks:
+        return F.lit(None).cast("string")
+    title = c("n_title")
+    named = F.get(F.filter(terms(prof.competing_stacks), lambda t: title.contains(t)), F.lit(0))
+    return F.when(~c("core_title"), F.concat(F.lit("Targets a different discipline ("), named, F.lit(")")))
 
 
 def _verdict(passed, reason, details, concerns) -> Column:
@@ -110,9 +111,10 @@ def relevance(df: DataFrame, prof: SearchProfile, out: str = "relevance") -> Dat
         .when(F.col("core_body"), f"{label} named in the description"),
         F.when(weak, f"{prof.label} role matching the background"),
         F.when(F.col("second_title") | F.col("second_body"), f"{second} named in the posting")))
-    notes = [F.when(weak, f"No {label} mention — adjacent role")]
-    notes += [F.when(~F.col("core_title") & F.col("hay").contains(stack), f"Mentions {stack}")
-              for stack in prof.competing_stacks]
-    df = df.withColumn(out, _verdict(F.col("_objection").isNull(), F.col("_objection"), details,
-                                     F.array_compact(F.array(*notes))))
+    notes = F.array_compact(F.array(F.when(weak, f"No {label} mention — adjacent role")))
+    if prof.competing_stacks:
+        others = F.filter(terms(prof.competing_stacks), lambda t: F.col("hay").contains(t))
+        notes = F.concat(notes, F.when(F.col("core_title"), F.array().cast(_STR_ARRAY)).otherwise(
+            F.transform(others, lambda t: F.concat(F.lit("Mentions "), t))))
+    df = df.withColumn(out, _verdict(F.col("_objection").isNull(), F.col("_objection"), details, notes))
     return df.select(*original, out)

@@ -79,7 +79,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    for name in ("documents", "events", "orders", "pages"):
+    documents = read(spark, sf_dir, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    if documents.rdd.getNumPartitions() < cores:
+        # one small file: spread the text work over the cores; a large table has its splits
+        documents = documents.repartition(cores * 4)
+    documents.createOrReplaceTempView("documents")
+    for name in ("events", "orders", "pages"):
         read(spark, sf_dir, name).createOrReplaceTempView(name)
     df = spark.sql(projection_sql())
     tags = F.filter(F.split("tag_text", ","), lambda t: t != "")
@@ -88,7 +94,7 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_ts(spark: SparkSession, sf_dir: str):
     """The run's clock: the last event. A single aggregate row, attached to the postings."""
-    return read(spark, sf_dir, "events").agg(F.max("ts").alias("run_ts"))
+    return read(spark, sf_dir, "events").agg(F.max("ts").cast("timestamp").alias("run_ts"))
 
 
 def with_run_ts(spark: SparkSession, sf_dir: str, df: DataFrame) -> DataFrame:

@@ -128,8 +128,8 @@ def home(c: str, prof=PROFILE) -> str:
 
 def worldwide(c: str) -> str:
     tails = f"regexp_extract_all({c}, '\\banywhere\\b((?:\\s+(?:in|within|across)\\s+(?:the\\s+)?[a-z]+)?)', 1)"
-    return (f"({any_in(c, fv.WORLDWIDE_TERMS)} OR list_bool_or(list_transform({tails}, "
-            f"lambda t: t = '' OR regexp_matches(t, '^\\s+(?:in|within|across)\\s+world$'))))")
+    hit = f"list_bool_or(list_transform({tails}, lambda t: t = '' OR regexp_matches(t, '^\\s+(?:in|within|across)\\s+world$')))"
+    return f"({any_in(c, fv.WORLDWIDE_TERMS)} OR coalesce({hit}, false))"
 
 
 def foreign(c: str, prof=PROFILE) -> str:
@@ -153,7 +153,7 @@ def strong_home(hay: str, header: str, prof=PROFILE) -> str:
 def explicit_home(hay: str, header: str, prof=PROFILE) -> str:
     sentence = (f"list_bool_or(list_transform(string_split_regex({hay}, '[.!?;\\n]+'), lambda s: {home('s')} "
                 f"AND NOT {any_in('s', prof.incidental)} AND {any_in('s', fv.ELIGIBILITY_CONTEXT)}))")
-    return f"({strong_home(hay, header)} OR {sentence})"
+    return f"({strong_home(hay, header)} OR coalesce({sentence}, false))"
 
 
 def restricted(hay: str) -> str:
@@ -401,7 +401,7 @@ en AS (SELECT *, coalesce(stated, CASE WHEN company_website <> '' THEN regexp_re
 # --------------------------------------------------------------------------- scoring
 
 LOCAL = lambda ts: f"CAST(({ts}) AT TIME ZONE 'UTC' AT TIME ZONE '{PR.timezone}' AS DATE)"
-AGE = f"greatest(datediff('day', {LOCAL('posted_at')}, {LOCAL(RUN)}), 0)"
+AGE = f"(CASE WHEN posted_at IS NOT NULL THEN greatest(datediff('day', {LOCAL('posted_at')}, {LOCAL(RUN)}), 0) END)"
 
 
 def applied(c: str, wide: bool) -> str:

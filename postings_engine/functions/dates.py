@@ -72,7 +72,8 @@ def freshness(df: DataFrame, run_ts: Column, days: int, tz: str, keep_undated: b
 
 
 def age_days(posted: Column, run_ts: Column, tz: str) -> Column:
-    return F.greatest(F.datediff(local_day(run_ts, tz), local_day(posted, tz)), F.lit(0))
+    days = F.datediff(local_day(run_ts, tz), local_day(posted, tz))
+    return F.when(days.isNotNull(), F.greatest(days, F.lit(0)))
 
 
 def age_label(days: Column) -> Column:

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import (first_match_text, has_any, has_any_word, has_word, no, substring_count, terms,
+from ..functions.text import (first_match_text, has_any, has_any_word, has_word, no, settled, substring_count, terms,
                               word_count, words_in)
 from ..profile import SearchProfile
 from ..registry import rule, rules
@@ -116,5 +116,5 @@ def relevance(df: DataFrame, prof: SearchProfile, out: str = "relevance") -> Dat
         others = F.filter(terms(prof.competing_stacks), lambda t: F.col("hay").contains(t))
         notes = F.concat(notes, F.when(F.col("core_title"), F.array().cast(_STR_ARRAY)).otherwise(
             F.transform(others, lambda t: F.concat(F.lit("Mentions "), t))))
-    df = df.withColumn(out, _verdict(F.col("_objection").isNull(), F.col("_objection"), details, notes))
+    df = settled(df, **{out: _verdict(F.col("_objection").isNull(), F.col("_objection"), details, notes)})
     return df.select(*original, out)

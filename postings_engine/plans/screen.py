@@ -65,12 +65,12 @@ def screen(postings: DataFrame, prof: SearchProfile, run_ts: Column, sizes: Data
     routes = (F.when(category == "", F.array(F.lit("qualified"))).when(category == "irrelevant", F.array(F.lit("dropped")))
               .when(category == "pay_unstated", F.array(F.lit("prospect")))
               .when(prospect, F.array(F.lit("rejected"), F.lit("prospect"))).otherwise(F.array(F.lit("rejected"))))
-    df = df.select(
-        "*", category.alias("category"), F.coalesce("_fail.reason", F.lit("")).alias("rejection_reason"),
-        category.alias("rejection_category"),
-        (F.col("posted_at").isNull() & F.col("relevance.passed") & F.col("fresh")).alias("is_undated"),
-        F.explode(routes).alias("route"))
-    return _finish(df)
+    undated = F.col("posted_at").isNull() & F.col("relevance.passed") & F.col("fresh")
+    outcome = lambda route: F.struct(
+        category.alias("category"), F.coalesce("_fail.reason", F.lit("")).alias("rejection_reason"),
+        category.alias("rejection_category"), undated.alias("is_undated"), route.alias("route"))
+    # the outcome leaves through a generator, so filters on it stay above the whole cascade
+    return _finish(df.select("*", F.inline_outer(F.transform(routes, outcome))))
 
 
 def _finish(df: DataFrame) -> DataFrame:

@@ -14,7 +14,10 @@ company_logo string, tags array<string>, is_remote boolean, truncated_descriptio
 direct_employer boolean, ats string, board_token string, company_linkedin string, linkedin_job_id string,
 discovered_platform string, aggregated_by string, available_from string
 """
-POSTINGS: T.StructType = T.StructType.fromDDL(" ".join(POSTINGS_DDL.split()))
+_TYPES = {"string": T.StringType(), "bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(),
+          "timestamp": T.TimestampType(), "array<string>": T.ArrayType(T.StringType())}
+POSTINGS = T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in
+                         (part.split() for part in POSTINGS_DDL.replace("\n", " ").split(",") if part.strip())])
 
 
 def to_postings(df: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """The full set of registered queries."""
 
+from . import catalogue_more  # noqa: F401  (registers)
 from .catalogue import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -28,7 +28,7 @@ def country_aliases() -> list[tuple[str, str]]:
 
 def regions_of(c: Column) -> Column:
     """"USA, UK and X" -> ordered distinct countries; unknown names stay as written."""
-    parts = F.transform(F.split(F.regexp_replace(c, " and |&|/", ","), ","), F.trim)
+    parts = F.transform(F.split(F.regexp_replace(c, " and |&|/", ","), ","), lambda x: F.trim(x))
     aliases = _literal_map(country_aliases())
     named = F.transform(F.filter(parts, lambda p: p != ""),
                         lambda p: F.coalesce(F.try_element_at(aliases, F.lower(p)), p))
@@ -125,7 +125,7 @@ def country_of_location(n_location: Column, prof: SearchProfile) -> Column:
     cities = _literal_map(prof.city_countries.items()) if prof.city_countries else None
     found = [named_foreign(n_location, prof)]
     if cities is not None:
-        parts = F.transform(F.split(n_location, ","), F.trim)
+        parts = F.transform(F.split(n_location, ","), lambda x: F.trim(x))
         by_part = F.array_compact(F.transform(parts, lambda p: F.try_element_at(cities, p)))
         found += [F.try_element_at(cities, _metro_city(n_location)), F.get(by_part, F.lit(0))]
     return F.when((n_location == "") | mentions_home(n_location, prof), "").otherwise(
@@ -142,7 +142,7 @@ def location_country(df: DataFrame, prof: SearchProfile, cities: DataFrame | Non
     df = df.withColumn("_home", (loc == "") | mentions_home(loc, prof)).withColumn("_named", named_foreign(loc, prof))
     parts = (df.where(~F.col("_home") & F.col("_named").isNull())
              .select("posting_id", F.posexplode(F.concat(F.array(_metro_city(loc)),
-                                                         F.transform(F.split(loc, ","), F.trim)))
+                                                         F.transform(F.split(loc, ","), lambda x: F.trim(x))))
                      .alias("pos", "city"))
              .join(cities.select("city", F.col("country").alias("_c")), "city")
              .groupBy("posting_id").agg(F.min_by("_c", "pos").alias("_city")))

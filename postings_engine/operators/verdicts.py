@@ -80,7 +80,7 @@ def apply_fit(leads: DataFrame, verdicts: DataFrame, weight: float = fv.FIT_WEIG
     a, judged = F.col("answer"), F.col("answer").isNotNull()
     df = joined.select("*", judged.alias("has_fit_verdict"), _bounded(a["fit"]).alias("model_fit"),
                        _bounded(a["chance"]).alias("model_chance"), F.trim(F.coalesce(a["verdict"], F.lit(""))).alias("model_verdict"))
-    named = lambda arr, n: F.filter(F.transform(F.slice(F.coalesce(arr, F.array().cast("array<string>")), 1, n), F.trim), lambda x: x != "")
+    named = lambda arr, n: F.filter(F.transform(F.slice(F.coalesce(arr, F.array().cast("array<string>")), 1, n), lambda x: F.trim(x)), lambda x: x != "")
     said = lambda arr: F.transform(arr, lambda x: F.concat(F.lit("Assessed: "), x))
     strengths, gaps = named(a["strengths"], 4), named(a["gaps"], 3)
     headline = F.array_compact(F.array(F.when(F.col("model_verdict") != "", F.format_string(

@@ -45,7 +45,7 @@ def tags_of(c: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.ArrayType):
         return F.filter(F.transform(c, lambda x: x.cast("string")), lambda x: x.isNotNull() & (x != ""))
     if isinstance(kind, T.StringType):
-        return F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != "")
+        return F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(c.isNotNull() & (c.cast("string") != "0"), F.array(c.cast("string")))
 
 

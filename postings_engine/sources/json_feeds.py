@@ -65,7 +65,7 @@ class Reader:
     def strings(self, path: str) -> Column:
         items = F.try_variant_get(self.item, f"$.{path}", "array<string>")
         items = F.filter(items, lambda x: x.isNotNull() & (x != ""))
-        parts = F.filter(F.transform(F.split(self.text(path), ","), F.trim), lambda x: x != "")
+        parts = F.filter(F.transform(F.split(self.text(path), ","), lambda x: F.trim(x)), lambda x: x != "")
         return F.coalesce(items, parts, F.array().cast("array<string>"))
 
     def first(self, spec) -> Column:

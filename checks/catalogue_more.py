@@ -55,7 +55,7 @@ _PREPARED = [S.P, S.K, _VARIANT, _ALIAS]
 def _(spark, sf):
     """Group sizes and sources against SQL; which copy survives, and what it gains, is a fold
     that the test suite checks against a plain loop."""
-    df = dedupe.deduplicate(slim_leads(spark, sf))
+    df = dedupe.deduplicate(slim_leads(spark, sf), materialise=False)
     return df.select("fingerprint", "copies", "first_seq", listed("sources").alias("sources"))
 
 

@@ -71,7 +71,7 @@ def html_text(c: str) -> str:
     out = f"regexp_replace({out}, '(?i)</(p|div|li|h[1-6]|tr)>', chr(10), 'g')"
     out = f"regexp_replace({out}, '(?i)<li[^>]*>', chr(10) || '- ', 'g')"
     out = f"regexp_replace({out}, '<[^>]+>', ' ', 'g')"
-    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("nbsp", " "), ("amp", "&")):
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("nbsp", " "), ("copy", "©"), ("middot", "·"), ("amp", "&")):
         out = f"replace({out}, '&{name};', '{char}')"
     out = f"regexp_replace({out}, '[ \\t\\r\\f\\v]+', ' ', 'g')"
     out = f"regexp_replace({out}, '\\n{{3,}}', chr(10) || chr(10), 'g')"

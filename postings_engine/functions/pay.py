@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
+from .text import once
 
 PAY_TYPE = ("salary_min double, salary_max double, day_rate_min double, day_rate_max double, "
             "currency string")
@@ -32,11 +33,6 @@ def amounts(c: Column) -> Column:
     return F.transform(kept, lambda t: F.regexp_replace(t["n"], r"[,\s]", "").cast("double") * factor(t))
 
 
-def once(value: Column, use) -> Column:
-    """use(value) with the value worked out a single time."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def parsed_pay(c: Column) -> Column:
     """Struct of annual and daily bounds read from free text."""
     none = F.lit(None).cast("double")

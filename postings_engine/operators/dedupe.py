@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import once
+from ..session import cut_lineage
 from .skew import salted_lookup
 
 MIN_STEM = 5
@@ -84,11 +86,11 @@ def _slim(df: DataFrame, key: str) -> DataFrame:
         *[F.coalesce(c, F.lit("")).alias(c) for c in FILLED],
         F.struct("salary_min", "salary_max", F.coalesce("salary_currency", F.lit("")).alias("salary_currency")).alias("salary"),
         (F.coalesce(F.nullif("day_rate_min", F.lit(0.0)))).isNotNull().alias("day_paid"))
-    df = df.select(F.col(key).alias("merge_key"), "seq", own.alias("own"))
-    return df.withColumn("tail", _tail_of(None))
+    return df.select(F.col(key).alias("merge_key"), "seq", own.alias("own"), _no_losers().alias("tail"),
+                     F.lit(1).cast("long").alias("copies"), F.array_compact(F.array(F.nullif("source", F.lit("")))).alias("sources"))
 
 
-def _tail_of(_) -> Column:
+def _no_losers() -> Column:
     first = "struct<seq:bigint,v:string>"
     pay = "struct<seq:bigint,v:struct<salary_min:double,salary_max:double,salary_currency:string>>"
     return F.struct(F.lit(None).cast("timestamp").alias("posted_at"),
@@ -123,8 +125,10 @@ def _compress(df: DataFrame, chunk: int) -> DataFrame:
     return (df.groupBy("merge_key", "_chunk", "_segment").agg(
         F.min("seq").alias("seq"), F.min_by("own", "seq").alias("own"),
         F.min(F.least(F.when(lost, F.col("own.posted_at")), F.col("tail.posted_at"))).alias("_d"),
-        *[first_value(c) for c in FILLED], F.min_by(pay, pay_seq).alias("salary"))
-        .select("merge_key", "seq", "own", F.struct(F.col("_d").alias("posted_at"), *FILLED, "salary").alias("tail")))
+        *[first_value(c) for c in FILLED], F.min_by(pay, pay_seq).alias("salary"), F.sum("copies").alias("copies"),
+        # distinct source lists only, so bounded by the feeds and not by the rows
+        F.array_distinct(F.flatten(F.collect_set("sources"))).alias("sources"))
+        .select("merge_key", "seq", "own", "copies", "sources", F.struct(F.col("_d").alias("posted_at"), *FILLED, "salary").alias("tail")))
 
 
 def _absorb(acc, tail):
@@ -153,12 +157,13 @@ def _row(base, date, field, salary):
 def _merge(acc, new):
     """Fold one more row in: the fuller row survives, ties keep the one already there."""
     wins = new["rank"] > acc["rank"]
-    winner, loser = (lambda c: F.when(wins, new[c]).otherwise(acc[c])), (lambda c: F.when(wins, acc[c]).otherwise(new[c]))
-    w_date, l_date = winner("posted_at"), loser("posted_at")
-    date = F.when(w_date.isNull(), w_date).otherwise(F.least(w_date, l_date))
-    base = {"rank": winner("rank"), "winner_seq": winner("winner_seq"), "day_paid": winner("day_paid")}
-    return _row(base, date, lambda c: F.when(winner(c) == "", loser(c)).otherwise(winner(c)),
-                _filled_salary(winner("salary"), loser("salary")))
+
+    def fold(pair):
+        w, x = pair["w"], pair["x"]
+        date = F.when(w["posted_at"].isNotNull(), F.least(w["posted_at"], x["posted_at"]))
+        return _row(w, date, lambda c: F.when(w[c] == "", x[c]).otherwise(w[c]), _filled_salary(w["salary"], x["salary"]))
+
+    return once(F.struct(F.when(wins, new).otherwise(acc).alias("w"), F.when(wins, acc).otherwise(new).alias("x")), fold)
 
 
 def merge_plan(df: DataFrame, key: str = "merge_key") -> DataFrame:
@@ -170,30 +175,30 @@ def merge_plan(df: DataFrame, key: str = "merge_key") -> DataFrame:
     for chunk in _CHUNKS:
         slim = _compress(slim, chunk)
     steps = F.array_sort(F.collect_list(F.struct("seq", "own", "tail")))
-    folded = slim.groupBy("merge_key").agg(steps.alias("steps"))
+    folded = slim.groupBy("merge_key").agg(
+        steps.alias("steps"), F.sum("copies").alias("copies"), F.min("seq").alias("first_seq"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("sources")))).alias("merged_sources"))
     first = F.col("steps")[0]
     merged = F.aggregate(F.slice("steps", 2, F.size("steps")), _absorb(first["own"], first["tail"]),
-                         lambda acc, s: _absorb(_merge(acc, s["own"]), s["tail"]))
-    counted = df.groupBy(F.col(key).alias("merge_key")).agg(
-        F.count(F.lit(1)).alias("copies"),
-        F.array_sort(F.collect_set(F.nullif("source", F.lit("")))).alias("merged_sources"),
-        F.min("seq").alias("first_seq"))
-    return folded.select("merge_key", merged.alias("m")).join(counted, "merge_key")
+                         lambda acc, s: once(_merge(acc, s["own"]), lambda m: _absorb(m, s["tail"])))
+    return folded.select("merge_key", merged.alias("m"), "copies", "merged_sources", "first_seq")
 
 
-def merge_duplicates(df: DataFrame, key: str = "merge_key") -> DataFrame:
+def merge_duplicates(df: DataFrame, key: str = "merge_key", full: DataFrame | None = None) -> DataFrame:
     """One row per group: the surviving copy with gaps filled, the earliest date, all
     sources, `copies` merged and `first_seq` of the group. Only slim columns go through the
-    grouping; full rows are shuffled once, by their own unique seq."""
+    grouping; full rows are shuffled once, by their own unique seq. `full` may name the table
+    to take them from, when `df` is a narrower or joined form of it."""
+    full = df if full is None else full
     plan = merge_plan(df, key).select(
         F.col("m.winner_seq").alias("seq"), F.col("merge_key").alias("_key"), F.col("m.posted_at").alias("_posted"),
         *[F.col(f"m.{c}").alias(f"_{c}") for c in FILLED], F.col("m.salary").alias("_salary"),
         "copies", "merged_sources", "first_seq")
-    joined = df.join(plan, "seq")
+    joined = full.join(plan, "seq")
     moved = {c: F.col(f"_{c}") for c in FILLED}
     moved.update({c: F.col(f"_salary.{c}") for c in ("salary_min", "salary_max", "salary_currency")})
     moved.update(posted_at=F.col("_posted"), sources=F.col("merged_sources"), fingerprint=F.col("_key"))
-    kept = [moved.get(c, F.col(c)).alias(c) for c in df.columns if c not in ("merge_key",)]
+    kept = [moved.get(c, F.col(c)).alias(c) for c in full.columns if c not in ("merge_key",)]
     return joined.select(*kept, "copies", "first_seq")
 
 
@@ -203,8 +208,16 @@ def refresh_age(df: DataFrame, run_ts: Column, tz: str) -> DataFrame:
     return add_age(df.drop("posted_date", "job_age_days", "job_age_label"), run_ts, tz)
 
 
-def deduplicate(leads: DataFrame, run_ts: Column | None = None, tz: str = "UTC") -> DataFrame:
-    out = merge_duplicates(url_alias(variant_key(leads)))
+KEY_COLUMNS = ("seq", "fingerprint", "title_slug", "company_slug", "url_key")
+
+
+def deduplicate(leads: DataFrame, run_ts: Column | None = None, tz: str = "UTC", materialise: bool = True) -> DataFrame:
+    """Keys, then merge. The leads are read four times and the keys twice, so both are
+    written first; without that every reader would screen and score again."""
+    keep = cut_lineage if materialise else (lambda df: df)
+    leads = keep(leads)
+    keys = keep(url_alias(variant_key(leads.select(*KEY_COLUMNS))).select("seq", "merge_key"))
+    out = merge_duplicates(leads.join(keys, "seq"), full=leads)
     return refresh_age(out, run_ts, tz) if run_ts is not None else out
 
 

@@ -39,8 +39,8 @@ def run(postings: DataFrame, prof: SearchProfile, run_ts: Column, seen: DataFram
     keep = cut_lineage if materialise else (lambda df: df)
     screened = keep(screen(postings, prof, run_ts, sizes))
     route = lambda name: screened.where(F.col("route") == name)
-    merged_q = keep(dedupe.deduplicate(route("qualified"), run_ts, prof.timezone))
-    merged_p = keep(dedupe.deduplicate(route("prospect"), run_ts, prof.timezone))
+    merged_q = keep(dedupe.deduplicate(route("qualified"), run_ts, prof.timezone, materialise))
+    merged_p = keep(dedupe.deduplicate(route("prospect"), run_ts, prof.timezone, materialise))
     copies = F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).cast("long").alias("n")
     removed = merged_q.agg(copies).union(merged_p.agg(copies)).agg(F.sum("n").alias("duplicates_removed"))
     # a merged row stands where the first of its copies stood

@@ -111,12 +111,12 @@ def seed_boards(boards: DataFrame, wanted: tuple[str, ...]) -> DataFrame:
 def board_tokens(postings: DataFrame, cap: int = 60) -> DataFrame:
     """(kind, token) of employer boards linked from any URL, in system order, first `cap`."""
     urls = postings.select(F.explode(F.array("url", "apply_url", "company_website")).alias("u")).where("u <> ''")
-    found = F.flatten(F.array(*[
-        F.transform(F.regexp_extract_all("u", F.lit("(?i)" + pattern), F.lit(1)),
-                    lambda t, k=kind, i=i: F.struct(F.lit(i).alias("place"), F.lit(k).alias("kind"), F.lower(t).alias("token")))
-        for i, (kind, pattern) in enumerate(fv.BOARD_TOKENS)]))
+    def tokens(kind, pattern):
+        return F.transform(F.regexp_extract_all("u", F.lit("(?i)" + pattern), F.lit(1)),
+                           lambda t: F.struct(F.lit(kind).alias("kind"), F.lower(t).alias("token")))
+    found = F.flatten(F.array(*[tokens(kind, pattern) for kind, pattern in fv.BOARD_TOKENS]))
     rows = urls.where(F.col("u").rlike("(?i)greenhouse|lever|ashby|workable|recruitee|smartrecruiters|teamtailor"))
-    distinct = rows.select(F.explode(found).alias("t")).groupBy("t.kind", "t.token").agg(F.min("t.place").alias("place"))
+    distinct = rows.select(F.explode(found).alias("t")).select("t.*").distinct()
     systems = {k: i for i, k in enumerate(dict.fromkeys(k for k, _ in fv.BOARD_TOKENS))}
     place = F.create_map(*[F.lit(x) for kv in systems.items() for x in kv])[F.col("kind")]
     return distinct.select("kind", "token", place.alias("place")).orderBy("place", "token").limit(cap).select("kind", "token")

@@ -211,6 +211,8 @@ def map_json_feed(payloads: DataFrame, name: str, run_ts: Column, default_locati
     if spec.keep is not None:
         items = items.where(spec.keep(r))
     text = lambda s: F.coalesce(r.first(s), F.lit(""))
+    # a lone id path is taken as it stands, even when it is zero
+    own_id = F.coalesce(F.try_variant_get("item", f"$.{spec.id}", "string"), F.lit("")) if isinstance(spec.id, str) else text(spec.id)
     url = text(spec.url)
     own_apply = r.first(spec.apply_url)
     tags = F.concat(*[r.strings(p) for p in spec.tags], F.filter(
@@ -220,7 +222,7 @@ def map_json_feed(payloads: DataFrame, name: str, run_ts: Column, default_locati
     location = F.coalesce(F.nullif(r.first(spec.location), F.lit("")), F.lit(spec.location_default or default_location))
     out = items.select(
         (F.col("payload_id") * (1 << 20) + F.col("pos")).alias("row_no"),
-        F.concat(F.lit(spec.prefix), text(spec.id)).alias("source_id"), text(spec.title).alias("title"),
+        F.concat(F.lit(spec.prefix), own_id).alias("source_id"), text(spec.title).alias("title"),
         F.coalesce(F.nullif(r.first(spec.company), F.lit("")), F.lit(spec.company_default)).alias("company"), url.alias("url"),
         apply_url.alias("apply_url"), html_to_text(r.first(spec.description)).alias("description"), location.alias("location_raw"),
         posted_timestamp(r.first(spec.posted), run_ts).alias("posted_at"), text(spec.employment).alias("employment_type_raw"),

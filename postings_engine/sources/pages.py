@@ -143,13 +143,12 @@ def _resolved(base: Column, href: Column) -> Column:
     """Absolute form of a link: absolute, scheme-relative, rooted, or relative to the folder."""
     origin = F.concat(url_scheme(base), F.lit("://"), F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1))
     folder = F.regexp_replace(url_path(base), r"[^/]*$", "")
-    joined = F.concat(F.when(folder == "", "/").otherwise(folder), href)
+    rooted = F.when(href.startswith("/"), href).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), href))
     # one "dir/.." pair at a time covers the nesting that occurs in links
     for _ in range(4):
-        joined = F.regexp_replace(F.regexp_replace(joined, r"/\./", "/"), r"/(?!\.\./)[^/]+/\.\./", "/")
+        rooted = F.regexp_replace(F.regexp_replace(rooted, r"/\./", "/"), r"/(?!\.\./)[^/]+/\.\./", "/")
     return (F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href).when(href.startswith("//"), F.concat(url_scheme(base), F.lit(":"), href))
-            .when(href.startswith("/"), F.concat(origin, href)).when(href.startswith("?"), F.concat(origin, url_path(base), href))
-            .otherwise(F.concat(origin, joined)))
+            .when(href.startswith("?"), F.concat(origin, url_path(base), href)).otherwise(F.concat(origin, rooted)))
 
 
 def detail_links(pages: DataFrame, max_per_page: int = 12, hints: tuple[str, ...] = fv.DETAIL_HINTS) -> DataFrame:

@@ -18,7 +18,11 @@ from .projection import PROFILE, REMOTE_PROFILE, postings, read, with_run_ts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-RUN = F.col("run_ts")
+
+
+def RUN():
+    return F.col("run_ts")
+
 SEP = " | "
 
 
@@ -155,7 +159,7 @@ def _(spark, sf):
     for k, (_, make, _) in _SHAPES.items():
         cond = F.col("event_id") % 14 == k
         shape = F.when(cond, make(F.col("ts"))) if shape is None else shape.when(cond, make(F.col("ts")))
-    df = dates.parse_posted(df.withColumn("raw", shape), "raw", RUN)
+    df = dates.parse_posted(df.withColumn("raw", shape), "raw", RUN())
     return df.select("event_id", stamp("posted_at").alias("posted"))
 
 
@@ -164,14 +168,14 @@ _start = lambda days: f"(CAST({S.LOCAL(S.RUN)} - {days - 1} AS TIMESTAMP) AT TIM
 
 @query("dat_2_freshness", S.select(f"SELECT posting_id, posted_at IS NULL OR posted_at >= {_start(14)} AS fresh, posted_at IS NULL AS noted FROM p", S.P))
 def _(spark, sf):
-    df = dates.freshness(base(spark, sf), RUN, 14, PROFILE.timezone)
+    df = dates.freshness(base(spark, sf), RUN(), 14, PROFILE.timezone)
     return df.select("posting_id", "fresh", F.col("fresh_concern").isNotNull().alias("noted"))
 
 
 @query("dat_3_age", S.select(f"""SELECT posting_id, CAST({S.AGE} AS INTEGER) AS age, CASE WHEN posted_at IS NULL THEN 'Date not published' WHEN {S.AGE} = 0 THEN 'Today'
   WHEN {S.AGE} = 1 THEN 'Yesterday' ELSE {S.AGE} || ' days ago' END AS label FROM p""", S.P))
 def _(spark, sf):
-    df = dates.add_age(base(spark, sf), RUN, PROFILE.timezone)
+    df = dates.add_age(base(spark, sf), RUN(), PROFILE.timezone)
     return df.select("posting_id", F.col("job_age_days").alias("age"), F.col("job_age_label").alias("label"))
 
 
@@ -290,7 +294,7 @@ def all_leads(spark, sf):
     is the advert's own."""
     df = relevance.relevance(text.add_keys(matched(spark, sf)), PROFILE)
     df = arr.reconcile_arrangement(arr.eligibility(arr.arrangement(df), PROFILE), PROFILE)
-    return score.build_leads(df, PROFILE, RUN)
+    return score.build_leads(df, PROFILE, RUN())
 
 
 _LEADS = [S.P, S.N, S.elig_ctes("n"), f"""v AS (SELECT * EXCLUDE (remote_status), CASE WHEN el_category = 'not_remote' THEN {S.ARR_LABEL} ELSE remote_status END AS remote_status FROM el)""", S.lead_ctes("v")]
@@ -305,7 +309,7 @@ _SCR_SQL = S.screen_ctes()
 
 
 def screened(spark, sf):
-    return screening.screen(base(spark, sf), PROFILE, RUN)
+    return screening.screen(base(spark, sf), PROFILE, RUN())
 
 
 @query("flt_11_screen", f"WITH {_SCR_SQL} SELECT posting_id, category, match_score, remote_status, company_size FROM scr WHERE category IN ('', 'low_pay', 'low_score')")
@@ -321,7 +325,7 @@ def _(spark, sf):
     df = arr.eligibility(df, PROFILE).withColumnRenamed("eligibility_verdict", "arrangement_verdict")
     df = df.where("not arrangement_verdict.passed and arrangement_verdict.prospect_worthy")
     df = df.select("*", F.col("arrangement_verdict.reason").alias("rejection_reason"), F.col("arrangement_verdict.category").alias("rejection_category"))
-    return gates.keep_prospects(score.build_leads(df, PROFILE, RUN), PROFILE).select("posting_id")
+    return gates.keep_prospects(score.build_leads(df, PROFILE, RUN()), PROFILE).select("posting_id")
 
 
 def crawl_of(spark, sf):

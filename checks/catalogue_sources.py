@@ -36,7 +36,11 @@ def src_sql(prefix, company="company", location="location_raw", n_tags=None, whe
     return S.select(f"""SELECT '{prefix}' || seq AS source_id, title, {company} AS company, {url} AS url, {location} AS location_raw, CAST({n_tags} AS INTEGER) AS n_tags, {stamp_sql('posted_at')} AS posted FROM p WHERE {where}""", S.P)
 
 
-ISO = F.date_format("posted_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def ISO():
+    return F.date_format("posted_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
 
 
 @query("src_1_corpus", S.select(f"SELECT posting_id, CASE WHEN apply_url <> '' THEN apply_url ELSE url END AS apply_url, {stamp_sql(f'{S.RUN} - to_days(CAST(seq % 40 AS INTEGER)) - INTERVAL 3 HOUR')} AS posted FROM p", S.P))
@@ -50,7 +54,7 @@ def _(spark, sf):
 
 @query("src_2_json_feed", src_sql("remotive-", location="CASE WHEN location_raw = '' THEN 'Remote' ELSE location_raw END"))
 def _(spark, sf):
-    item = F.struct(F.col("seq").alias("id"), "title", F.col("company").alias("company_name"), "url", "description", F.col("location_raw").alias("candidate_required_location"), ISO.alias("publication_date"), "tags")
+    item = F.struct(F.col("seq").alias("id"), "title", F.col("company").alias("company_name"), "url", "description", F.col("location_raw").alias("candidate_required_location"), ISO().alias("publication_date"), "tags")
     rows = payloads(base(spark, sf), item, lambda a: F.struct(a.alias("jobs")))
     return tidy(json_feeds.map_json_feed(rows, "remotive", RUN_OF(spark, sf)))
 
@@ -58,7 +62,7 @@ def _(spark, sf):
 @query("src_2_json_feed_nested", src_sql("adzuna-", location="CASE WHEN location_raw = '' THEN 'GB' ELSE location_raw END", n_tags="1"))
 def _(spark, sf):
     item = F.struct(F.col("seq").alias("id"), "title", F.struct(F.col("company").alias("display_name")).alias("company"), F.col("url").alias("redirect_url"), "description",
-                    F.struct(F.col("location_raw").alias("display_name")).alias("location"), ISO.alias("created"), F.struct(F.lit("Trades").alias("label")).alias("category"))
+                    F.struct(F.col("location_raw").alias("display_name")).alias("location"), ISO().alias("created"), F.struct(F.lit("Trades").alias("label")).alias("category"))
     rows = payloads(base(spark, sf), item, lambda a: F.struct(a.alias("results"))).withColumn("market", F.lit("gb"))
     return tidy(json_feeds.map_json_feed(rows, "adzuna", RUN_OF(spark, sf)))
 
@@ -93,7 +97,7 @@ _HIDDEN = "CASE WHEN trim(company) = '' THEN 'Undisclosed' ELSE trim(company) EN
 def _(spark, sf):
     place = F.when(F.col("location_raw") != "", F.struct(F.struct(F.col("location_raw").alias("addressLocality"), F.lit("GB").alias("addressCountry")).alias("address")))
     ref = F.concat(F.lit("#org"), "seq")
-    body = F.struct(F.array(F.to_json(F.struct(F.lit("JobPosting").alias("@type"), "title", ISO.alias("datePosted"), place.alias("jobLocation"), F.struct(ref.alias("@id")).alias("hiringOrganization"))),
+    body = F.struct(F.array(F.to_json(F.struct(F.lit("JobPosting").alias("@type"), "title", ISO().alias("datePosted"), place.alias("jobLocation"), F.struct(ref.alias("@id")).alias("hiringOrganization"))),
                             F.to_json(F.struct(F.lit("Organization").alias("@type"), ref.alias("@id"), F.col("company").alias("name")))).alias("@graph"))
     pages = ld_pages(spark, sf, body)
     # the two nodes were written as text; open the quotes so the graph holds objects
@@ -235,7 +239,7 @@ def _(spark, sf):
     df = relevance.relevance(matched(spark, sf), PROFILE)
     adverts = base(spark, sf).where("seq % 20 = 0").select("source", "source_id", F.concat("description", F.repeat(F.lit(" more"), F.lit(100))).alias("body"), F.lit("2024-01-01").alias("advert_posted"),
                                                          F.lit("Contract").alias("advert_employment"), F.lit("").alias("advert_applicants"))
-    return enrich.fill_bodies(df, adverts, ("src1", "src4", "src8", "src0"), RUN).select("posting_id", "body_filled")
+    return enrich.fill_bodies(df, adverts, ("src1", "src4", "src8", "src0"), RUN()).select("posting_id", "body_filled")
 
 
 # --------------------------------------------------------------- sinks, extension points
@@ -258,5 +262,5 @@ def _(spark, sf):
 @query("ext_2_feed_registry", src_sql("own-"))
 def _(spark, sf):
     json_feeds.register_feed("own_board", json_feeds.FieldMap(("$.rows",), "own-", "n", "name", "firm", "href", (), "body", "place", "", "day", tags=("tags",)))
-    item = F.struct(F.col("seq").alias("n"), F.col("title").alias("name"), F.col("company").alias("firm"), F.col("url").alias("href"), F.col("description").alias("body"), F.col("location_raw").alias("place"), ISO.alias("day"), "tags")
+    item = F.struct(F.col("seq").alias("n"), F.col("title").alias("name"), F.col("company").alias("firm"), F.col("url").alias("href"), F.col("description").alias("body"), F.col("location_raw").alias("place"), ISO().alias("day"), "tags")
     return tidy(json_feeds.map_json_feed(payloads(base(spark, sf), item, lambda a: F.struct(a.alias("rows"))), "own_board", RUN_OF(spark, sf)))

@@ -40,7 +40,7 @@ def test_every_query_but_a_few_has_sql():
 
 
 def test_screen_plan_stays_in_the_jvm_and_does_not_shuffle(spark, clock):
-    plan = screen(to_postings(spark.table("documents").select(F.col("doc_id").alias("seq"))) if False else _stored(spark), PROFILE, clock)
+    plan = screen(_stored(spark), PROFILE, clock)
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in text and "Exchange" not in text
     # a filter on the outcome stays above the cascade instead of repeating it

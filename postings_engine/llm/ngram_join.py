@@ -2,9 +2,10 @@
 
 Every text is hashed whole. Sets that are equal are one node. Candidates come from cutting each
 set, by the range of its hashes, into more segments than two linked sets of its size class can
-differ in: one segment at least is then equal in both. The candidates' clusters are cut into
-size-banded tiles, where parity bitmaps bound the overlap from above before sorted arrays are
-intersected; components of the links follow by star contractions.
+differ in: one segment at least is then equal in both. Parity bitmaps, hashed from the sets, bound
+the overlap of such pairs from above; those that may link form clusters, which are cut into
+size-banded tiles, where wider bitmaps prune again before sorted arrays are intersected. Components
+of the links follow by star contractions.
 
 Defined cases. Null and empty texts, and texts of separators only, have no shingles: n_shingles 0,
 linked with nothing, component of their own. A text of fewer words than the width is one shingle.
@@ -23,9 +24,10 @@ from pyspark.sql import functions as F
 from .common import Scratch, batch
 from .components import components
 from .hashing import U, digests, mix, row_sums, shingles, text_pieces, words
-from .setjoin import key_links, tiles, verify
+from .prefilter import narrowed
+from .setjoin import likely_links, marks, shared_keys, tiles, verify
 
-SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64())])
+SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("mark", pa.binary())])
 ENTRIES = pa.schema([("key", pa.int64()), ("node", pa.int64())])
 ARRAYS = pa.schema([("tile", pa.int64()), ("side", pa.int32()), ("id", pa.int64()), ("hashes", pa.binary())])
 #: Sets that one task remembers to write their segments once.
@@ -97,15 +99,15 @@ def segment_keys(values: np.ndarray, at: np.ndarray, classes: SizeClasses) -> tu
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, d1, d2): size of each row's set and two digests of it."""
+    """(doc_id, n, d1, d2, mark): size of each row's set, two digests and a bitmap of it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for lo, hi, data, offsets in text_pieces(rows.column(1)):
                 hashes, _, _, per_row = words(data, offsets)
                 values, at = shingles(hashes, per_row, width)
                 d1, d2 = digests(values, at)
-                yield batch(SETS, rows.column(0).slice(lo, hi - lo), np.diff(at), d1.view(np.int64), d2.view(np.int64))
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long")
+                yield batch(SETS, rows.column(0).slice(lo, hi - lo), np.diff(at), d1.view(np.int64), d2.view(np.int64), marks(values, at))
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, mark binary")
 
 
 def _entries(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -152,19 +154,28 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
     when den * overlap >= num * union of their sets of `width`-word shingles (0.5 < num/den < 1)."""
     scratch = Scratch(docs.sparkSession, "ngram-join")
     sets = scratch.save(shingle_sets(docs, width), "sets")
-    links = scratch.save(key_links(_entries(docs, width, num, den)), "candidates")
-    clusters = components(links, scratch, "cluster").select(F.col("node").alias("d1"), F.col("component").alias("cluster"))
-
     nodes = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(
-        F.min("doc_id").alias("id"), F.min("n").alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+        F.min("doc_id").alias("id"), F.max("doc_id").alias("most"), F.min("n").alias("n"), F.min("mark").alias("mark"))
     nodes = scratch.save(nodes, "nodes")
+    shared = scratch.save(shared_keys(_entries(docs, width, num, den)), "shared")
+    links = likely_links(shared, nodes.select(F.col("d1").alias("node"), "n", "mark"), num, den)
+    clusters = components(links, scratch, "cluster").select(F.col("node").alias("d1"), F.col("component").alias("cluster"))
     members = scratch.save(nodes.join(clusters, "d1").select("id", "n", "d1", "d2", "cluster"), "members")
     spots = tiles(members, num / den, scratch).groupBy("id", "d1", "d2").agg(F.collect_list(F.struct("tile", "side")).alias("spots"))
-    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    texts = narrowed(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), "id", members)
     exact = scratch.save(verify(_hashed(texts.join(spots, "id"), width), num, den), "links")
 
     reached = components(exact, scratch, "component").select(F.col("node").alias("id"), "component")
-    grouped = nodes.join(reached, "id", "left").where("component IS NOT NULL OR least < most").select(
+    grouped = nodes.join(reached, "id", "left").where("component IS NOT NULL OR id < most").select(
         "d1", "d2", F.coalesce("component", "id").alias("component"))
     return sets.join(grouped, ["d1", "d2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """docs without the documents that a smaller doc_id of their component stands for. Rows that are
+    repeated with doc_id and text stay once; rows with a null doc_id all stay."""
+    found = jaccard_components(docs, width, num, den)
+    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id IS NULL"))

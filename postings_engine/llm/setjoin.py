@@ -1,10 +1,12 @@
 """Exact Jaccard links of sets of hashes: shared by the n-gram join and the line dedup.
 
-1. `key_links`: rows (key, node) become links node - smallest node under the key, streamed from
-   rows sorted by key; a key's group is never held.
-2. `tiles`: clusters of linked candidates are cut into tiles of bounded weight, by size band.
-3. `verify`: within a tile, bitmap signatures bound each pair's overlap from above, what is left
-   is intersected exactly, and a spanning forest of the links comes out.
+1. `shared_keys`: rows (key, node), streamed by key; rows whose key has other nodes stay.
+2. `likely_links`: under each key, the bit counts of bitmap signatures bound the overlap of two
+   sets from above; pairs that may still link are joined to a forest. Its components, the clusters,
+   hold every link.
+3. `tiles`: clusters are cut into tiles of bounded weight, by size band.
+4. `verify`: within a tile, wider bitmaps prune again, what is left is intersected exactly, and a
+   spanning forest of the links comes out.
 
 A bitmap holds, per hash bucket, the parity of how many members of the set fall in it; where two
 bitmaps differ, the sets differ at least once, so with d differing bits the overlap is at most
@@ -26,27 +28,109 @@ LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 #: Hashes in one side of a tile: 3 MB. A smaller set counts as LEAST hashes, which bounds the sets.
 TILE = 400_000
 LEAST = 150
+#: Nodes of one key that are compared with each other.
+HELD = 256
 
 
-def key_links(entries: DataFrame) -> DataFrame:
-    """(key, node) long -> distinct (a, b) with b the smallest node under a shared key."""
+def shared_keys(entries: DataFrame, held: int = HELD) -> DataFrame:
+    """(key, node) long -> (key, node, star): the rows whose key has at least two nodes, each once.
+    star is null for the first `held` nodes of a key; a later one has the key's smallest node there,
+    and is linked with it unseen, so that no key's group has to be held."""
+    kept = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("star", pa.int64())])
+
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key = last_node = None
+        # what is open at a batch's end: the last key, its first and last node, its number of nodes
+        open_key = open_first = open_last = None
+        open_rank = 0
         for rows in batches:
             if not rows.num_rows:
                 continue
             key, node = (rows.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            new = np.empty(len(key), bool)
-            new[0] = last_key is None or key[0] != last_key
-            new[1:] = key[1:] != key[:-1]
-            first = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-            lowest = np.where(first < 0, last_node if last_node is not None else 0, node[first])
-            last_key, last_node = key[-1], lowest[-1]
-            linked = node != lowest
-            yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(lowest[linked])], schema=LINKS)
+            same = np.empty(len(key), bool)
+            same[0] = key[0] == open_key
+            same[1:] = key[1:] == key[:-1]
+            again = same.copy()
+            again[0] &= node[0] == open_last
+            again[1:] &= node[1:] == node[:-1]
+            key, node, same = key[~again], node[~again], same[~again]
+            if not len(key):
+                continue
+            at = np.arange(len(key))
+            start = np.maximum.accumulate(np.where(same, -1, at))
+            rank = np.where(start < 0, at + open_rank, at - start)
+            first = np.where(start < 0, open_first if open_first is not None else 0, node[start])
+            grouped = same.copy()
+            grouped[:-1] |= same[1:]
+            out = [key[grouped], node[grouped], pa.array(first[grouped], mask=rank[grouped] < held)]
+            if same[0] and open_rank == 1:  # the open key's first node had no other one yet
+                yield pa.RecordBatch.from_arrays([pa.array([open_key]), pa.array([open_first]), pa.array([None], pa.int64())], schema=kept)
+            open_key, open_last, open_first, open_rank = key[-1], node[-1], first[-1], int(rank[-1]) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in out], schema=kept)
 
     ordered = entries.select("key", "node").repartition("key").sortWithinPartitions("key", "node")
-    return ordered.mapInArrow(stream, "a long, b long").distinct()
+    return ordered.mapInArrow(stream, "key long, node long, star long")
+
+
+def marks(values: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """A parity bitmap of each row's set, of 64 bits or at least half as many as the set has members."""
+    n = np.diff(at)
+    out: list[bytes] = [b""] * len(n)
+    bits = np.maximum(64, 1 << np.maximum(np.frexp(n.astype(float))[1] - 1, 0))
+    for width in np.unique(bits):
+        rows = np.flatnonzero(bits == width)
+        start = np.cumsum(n[rows]) - n[rows]
+        flat = values[np.repeat(at[rows] - start, n[rows]) + np.arange(int(n[rows].sum()))]
+        cell = np.repeat(np.arange(len(rows)) * width, n[rows]) + (flat & np.uint64(width - 1)).astype(np.int64)
+        odd = (np.bincount(cell, minlength=len(rows) * width) & 1).astype(np.uint8).reshape(len(rows), width)
+        packed = np.packbits(odd, axis=1, bitorder="little")
+        for i, r in enumerate(rows):
+            out[r] = packed[i].tobytes()
+    return out
+
+
+def _folded(mark: int, bits: int, to: int) -> int:
+    while bits > to:
+        bits //= 2
+        mark = (mark >> bits) ^ (mark & ((1 << bits) - 1))
+    return mark
+
+
+def likely_links(shared: DataFrame, signatures: DataFrame, num: int, den: int) -> DataFrame:
+    """shared(key, node, star), signatures(node, n, mark) -> distinct links (a, b): a forest, under
+    each key, of the pairs whose bitmaps allow den * overlap >= num * union; and the stars."""
+    def forest(nodes, sizes, raw):
+        bits = min(len(m) for m in raw) * 8
+        maps = [_folded(int.from_bytes(m, "little"), len(m) * 8, bits) for m in raw]
+        root = list(range(len(nodes)))
+        for i in range(len(nodes)):
+            for j in range(i + 1, len(nodes)):
+                if root[i] != root[j]:
+                    both = sizes[i] + sizes[j]
+                    bound = min((both - (maps[i] ^ maps[j]).bit_count()) // 2, sizes[i], sizes[j])
+                    if den * bound >= num * (both - bound):
+                        yield nodes[j], nodes[i]
+                        old, new = root[j], root[i]
+                        root = [new if r == old else r for r in root]
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, group = None, ([], [], [])
+        for rows in batches:
+            found: list[tuple[int, int]] = []
+            for key, node, n, mark in zip(*(c.to_pylist() for c in rows.columns)):
+                if key != last:
+                    if len(group[0]) > 1:
+                        found.extend(forest(*group))
+                    last, group = key, ([], [], [])
+                for x, y in zip(group, (node, n, mark)):
+                    x.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], schema=LINKS)
+        if len(group[0]) > 1:
+            found = list(forest(*group))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], schema=LINKS)
+
+    known = shared.where("star IS NULL").join(signatures, "node").select("key", "node", "n", "mark")
+    tested = known.repartition("key").sortWithinPartitions("key").mapInArrow(stream, "a long, b long")
+    return tested.unionByName(shared.where("star IS NOT NULL").select(F.col("node").alias("a"), F.col("star").alias("b"))).distinct()
 
 
 def tiles(members: DataFrame, threshold: float, scratch: Scratch, tile: int = TILE) -> DataFrame:

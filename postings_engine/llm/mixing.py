@@ -42,7 +42,8 @@ def source_rates(docs: DataFrame, weights: DataFrame | None = None, temperature:
     else:
         own = weights.select(F.col("source").alias("own"), F.col("weight").cast("double")).groupBy("own").agg(F.sum("weight").alias("weight"))
         weighted = sizes.join(own, F.col("source").eqNullSafe(F.col("own"))).drop("own").where("weight > 0")
-    whole = weighted.agg(F.sum("size").alias("all_size"), F.sum("weight").alias("all_weight"))  # one row
+    # decimals add up to the same in any order
+    whole = weighted.agg(F.sum("size").alias("all_size"), F.sum(F.col("weight").cast("decimal(38,18)")).cast("double").alias("all_weight"))  # one row
     return weighted.crossJoin(F.broadcast(whole)).select("source", (F.col("weight") / F.col("all_weight") * F.col("all_size") / F.col("size")).alias("rate"))
 
 

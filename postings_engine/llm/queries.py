@@ -14,6 +14,7 @@ from .language_id import language_id
 from .line_dedup import line_components
 from .mixing import mix_sources
 from .ngram_join import jaccard_components
+from .oracle import ORACLE
 from .sharding import shard
 from .token_output import token_output
 from .url_filter import judge, rule_list
@@ -102,4 +103,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (
     op1_ngram_join, op2_token_output, op3_line_dedup, op4_sharding, op5_mix_sources, op6_url_filter, op7_warc, op8_embedding_dedup,
     op9_decontaminate, op10_language_id)}
-ORACLE: dict[str, str] = {}
+
+__all__ = ["ORACLE", "QUERIES"]

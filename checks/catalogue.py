@@ -339,7 +339,7 @@ def crawl_of(spark, sf):
 
 
 @query("flt_13_liveness", S.select("""SELECT posting_id, s IN (404, 410) OR (s = 200 AND filled) AS closed, s NOT IN (200, 404, 410) AS unread FROM (
-  SELECT p.posting_id, CASE g.page_id % 5 WHEN 0 THEN 404 WHEN 1 THEN 500 ELSE 200 END AS s, g.page_id % 7 = 0 AND length(g.html) < 59000 AS filled FROM p JOIN pages g ON p.url = g.url)""", S.P))
+  SELECT p.posting_id, CASE g.page_id % 5 WHEN 0 THEN 404 WHEN 1 THEN 500 ELSE 200 END AS s, g.page_id % 7 = 0 AS filled FROM p JOIN pages g ON p.url = g.url)""", S.P))
 def _(spark, sf):
     df = base(spark, sf).select("posting_id", F.col("url").alias("application_url"), F.col("url").alias("original_job_url"), F.array().cast("array<string>").alias("concerns"))
     return gates.drop_closed(df, crawl_of(spark, sf)).select("posting_id", "closed", (F.size("concerns") > 0).alias("unread"))

@@ -144,7 +144,7 @@ def _(spark, sf):
 
 @query("ver_3_fit_blend", """SELECT CAST(d.doc_id AS VARCHAR) AS posting_id, CASE WHEN l.doc_id IS NULL THEN CAST(n_chars % 101 AS INTEGER) ELSE
   CAST(least(greatest(round_even((n_chars % 101) * (1 - 0.4::DOUBLE) + (l.doc_id % 70) * 0.4::DOUBLE, 0), 0), 100) AS INTEGER) END AS match_score,
-  CASE WHEN l.doc_id IS NULL THEN 1 ELSE 5 END AS n_reasons FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""")
+  CASE WHEN l.doc_id IS NULL THEN 1 ELSE 6 END AS n_reasons FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""")
 def _(spark, sf):
     df = verdicts.apply_fit(leads_of(spark, sf), verdicts_of(spark, sf))
     return df.select("posting_id", "match_score", F.size("match_reasons").alias("n_reasons"))
@@ -341,7 +341,7 @@ def _(spark, sf):
 def _(spark, sf):
     """The plan, with how many postings it will be matched against."""
     n = read(spark, sf, "documents").agg(F.count(F.lit(1)).alias("n_documents"))
-    return worklist.search_plan(spark, PROFILE).select("sweep", "keywords", "job_type", "region").join(F.broadcast(n))
+    return worklist.search_plan(spark, PROFILE, deep=False).select("sweep", "keywords", "job_type", "region").join(F.broadcast(n))
 
 
 @query("set_1_union_leads", "SELECT CAST(doc_id AS VARCHAR) AS posting_id FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT CAST(doc_id AS VARCHAR) FROM documents WHERE doc_id % 3 = 0")

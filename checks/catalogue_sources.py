@@ -130,7 +130,7 @@ def _(spark, sf):
 _body = S.html_text("description")
 
 
-@query("src_8_html_detail", S.select(f"SELECT CAST(posting_id AS BIGINT) AS page_id, CASE WHEN length({_body}) > 200 THEN length(substr({_body}, 1, 12000)) ELSE 0 END AS n_body, title AS employment_type, trim(applicants) AS applicants FROM p", S.P))
+@query("src_8_html_detail", S.select(f"SELECT CAST(posting_id AS BIGINT) AS page_id, CASE WHEN length({_body}) > 200 THEN length({_body}) ELSE 0 END AS n_body, title AS employment_type, trim(applicants) AS applicants FROM p", S.P))
 def _(spark, sf):
     html = F.concat(F.lit('<div class="show-more-less-html__markup x">'), "description", F.lit('</div><h3 class="job-criteria-subheader">Employment type</h3> <span class="job-criteria-text">'), "title",
                     F.lit('</span><figcaption class="num-applicants__caption"> '), "applicants", F.lit(" </figcaption>"))
@@ -141,7 +141,7 @@ def _(spark, sf):
 _c = S.html_text("text")
 
 
-@query("src_9_thread_postings", f"""SELECT 'hn-' || (conv_id * 1000 + turn) AS source_id, substr(trim(string_split({_c}, chr(10))[1]), 1, 120) AS title, length({_c}) AS n FROM conversations WHERE turn > 0 AND turn % 3 <> 2 AND length({_c}) >= 120""")
+@query("src_9_thread_postings", f"""SELECT 'hn-' || (conv_id * 1000 + turn) AS source_id, trim(string_split({_c}, chr(10))[1]) AS title, length({_c}) AS n FROM conversations WHERE turn > 0 AND turn % 3 <> 2 AND length({_c}) >= 120""")
 def _(spark, sf):
     c = read(spark, sf, "conversations").where("turn > 0")
     oid = F.col("conv_id") * 1000 + F.col("turn")
@@ -155,7 +155,7 @@ def _(spark, sf):
     return feeds.as_tags(df, "raw").select("event_id", listed("tags").alias("tags"))
 
 
-@query("src_11_union_feeds", S.select(f"SELECT CASE WHEN seq % 2 = 0 THEN 'reed' ELSE 'jobgether' END AS source, CAST(seq + CASE WHEN seq % 2 = 0 THEN {fv.FEED_ORDER.index('reed')} ELSE {fv.FEED_ORDER.index('jobgether')} END * {1 << 44} AS BIGINT) AS seq, CASE WHEN seq % 3 = 0 THEN false WHEN seq % 2 = 1 THEN true END AS is_remote FROM p", S.P))
+@query("src_11_union_feeds", S.select(f"SELECT CASE WHEN seq % 2 = 0 THEN 'reed' ELSE 'jobgether' END AS source, CAST(seq + CASE WHEN seq % 2 = 0 THEN {fv.FEED_ORDER.index('reed')} ELSE {fv.FEED_ORDER.index('jobgether')} END * {1 << 58} AS BIGINT) AS seq, CASE WHEN seq % 3 = 0 THEN false WHEN seq % 2 = 1 THEN true END AS is_remote FROM p", S.P))
 def _(spark, sf):
     df = base(spark, sf).withColumn("row_no", F.col("seq")).withColumn("is_remote", F.when(F.col("seq") % 3 == 0, False))
     return feeds.union_feeds({"reed": df.where("seq % 2 = 0"), "jobgether": df.where("seq % 2 = 1")}).select("source", "seq", "is_remote")
@@ -167,7 +167,7 @@ def _(spark, sf):
     return feeds.dedupe_by_id(df).select("posting_id")
 
 
-@query("src_13_source_stats", "SELECT source AS name, CAST(CASE WHEN source = 'src3' THEN 0 ELSE count(*) END AS BIGINT) AS raw_count, source <> 'src3' AS ok, CASE WHEN source = 'src3' THEN repeat('x', 200) ELSE '' END AS error FROM documents GROUP BY source")
+@query("src_13_source_stats", "SELECT source AS name, CAST(CASE WHEN source = 'src3' THEN 0 ELSE count(*) END AS BIGINT) AS raw_count, source <> 'src3' AS ok, CASE WHEN source = 'src3' THEN repeat('x', 300) ELSE '' END AS error FROM documents GROUP BY source")
 def _(spark, sf):
     docs = read(spark, sf, "documents")
     failed = F.col("source") == "src3"
@@ -205,24 +205,34 @@ _t = "CASE page_id % 6 WHEN 0 THEN 'https://a.example/s?q={query}' WHEN 1 THEN '
 
 
 @query("src_18_screen_urls", """SELECT page_id, CASE page_id % 6 WHEN 0 THEN '' WHEN 1 THEN 'scheme is not allowed' WHEN 2 THEN 'credentials in the URL' WHEN 3 THEN 'port is not allowed' WHEN 4 THEN 'no public hostname' ELSE 'no {query} placeholder' END AS reason,
-  page_id % 6 = 0 AND row_number() OVER (PARTITION BY page_id % 6 = 0, page_id % 4 ORDER BY page_id) <= 12 AS kept FROM pages""")
+  page_id % 6 = 0 AND row_number() OVER (PARTITION BY page_id % 6 = 0, page_id % 4 ORDER BY page_id) <= 12 AS kept, page_id % 6 = 0 AS kept_all FROM pages""")
 def _(spark, sf):
     df = read(spark, sf, "pages").select("page_id", F.col("page_id").alias("seq"), F.expr(_t).alias("url_template"), (F.col("page_id") % 4).alias("country"))
-    return feeds.screen_urls(df).select("page_id", "reason", "kept")
+    every = feeds.screen_urls(df).select("page_id", F.col("kept").alias("kept_all"))
+    return feeds.screen_urls(df, 12).select("page_id", "reason", "kept").join(every, "page_id")
 
 
 # --------------------------------------------------------------- enrichment from pages
 
-@query("enr_5_site_contacts", """SELECT 'https://s' || doc_id // 8 || '.com' AS site, CAST(least(count(*) FILTER (doc_id % 8 < 6), 4) AS INTEGER) AS n_emails, 'careers@s' || doc_id // 8 || '.com' AS best, 'Ann Lee — CTO' AS person FROM documents GROUP BY doc_id // 8 HAVING count(*) FILTER (doc_id % 8 < 6) > 1""")
+_site_mail = f"list_filter(list_distinct(list_transform(regexp_extract_all(html, {S.q(fv.SITE_EMAIL)}), lambda e: lower(regexp_replace(trim(e), '^\\.+|\\.+$', '', 'g')))), lambda e: e <> '' AND NOT regexp_matches(e, {S.q(fv.SITE_EMAIL_UNWANTED)}) AND regexp_matches(e, {S.q(fv.SITE_EMAIL_TLD)}))"
+
+
+@query("enr_5_site_contacts", f"""WITH h AS (SELECT 'https://s' || doc_id // 8 || '.com' AS site, doc_id % 8 AS n, text || coalesce(html, '') || '<p>Ann Lee, CTO</p> noreply@x.com ' || CASE WHEN doc_id % 8 = 1 THEN 'careers' ELSE 'sales' || doc_id % 8 END || '@s' || doc_id // 8 || '.com ' AS html
+    FROM documents d LEFT JOIN (SELECT page_id, any_value(html) AS html FROM pages GROUP BY page_id) p ON p.page_id = d.doc_id),
+  e AS (SELECT DISTINCT site, unnest({_site_mail}) AS mail FROM h)
+  SELECT site, CAST(count(*) AS INTEGER) AS n_emails, coalesce(bool_or(mail = 'careers@' || substr(site, 9)), false) AS has_careers, arg_min(mail, (CASE WHEN starts_with(mail, 'careers@') THEN 0 ELSE 1 END, mail)) FILTER (mail = 'careers@' || substr(site, 9)) AS best FROM e GROUP BY site""")
 def _(spark, sf):
-    """Eight pages per site on the contact-style paths, the first six of which are read."""
+    """Eight pages per site on the contact-style paths, each a whole document text and, where there
+    is one of the same number, a whole page."""
     paths = F.array(*map(F.lit, fv.SITE_PAGES[:8]))
     site = F.concat(F.lit("s"), F.floor(F.col("doc_id") / 8).cast("string"), F.lit(".com"))
     box = F.when(F.col("doc_id") % 8 == 1, "careers").otherwise(F.concat(F.lit("sales"), (F.col("doc_id") % 8).cast("string")))
-    html = F.concat("text", F.lit("<p>Ann Lee, CTO</p> noreply@x.com "), box, F.lit("@"), site, F.lit(" "))
-    df = read(spark, sf, "documents").withColumn("text", F.lit("")).select(F.concat(F.lit("https://"), site, F.element_at(paths, (F.col("doc_id") % 8 + 1).cast("int"))).alias("url"), html.alias("html"))
-    return enrich.site_contacts(df).where(F.array_contains("emails", F.concat(F.lit("careers@"), F.substring("site", 9, 99)))).select(
-        "site", F.size("emails").alias("n_emails"), F.col("emails")[0].alias("best"), F.col("people")[0].alias("person"))
+    pages = read(spark, sf, "pages").groupBy(F.col("page_id").alias("doc_id")).agg(F.any_value("html").alias("page"))
+    html = F.concat("text", F.coalesce("page", F.lit("")), F.lit("<p>Ann Lee, CTO</p> noreply@x.com "), box, F.lit("@"), site, F.lit(" "))
+    df = read(spark, sf, "documents").join(pages, "doc_id", "left").select(F.concat(F.lit("https://"), site, F.element_at(paths, (F.col("doc_id") % 8 + 1).cast("int"))).alias("url"), html.alias("html"))
+    own = F.concat(F.lit("careers@"), F.substring("site", 9, 99))
+    found = enrich.site_contacts(df).where(F.size("emails") > 0).select("site", F.size("emails").alias("n_emails"), F.array_contains("emails", own).alias("has_careers"), own.alias("own"))
+    return found.select("site", "n_emails", "has_careers", F.when(F.col("has_careers"), F.col("own")).alias("best"))
 
 
 @query("enr_6_fill_contacts", """SELECT CAST(doc_id AS VARCHAR) AS posting_id, CASE WHEN doc_id % 2 = 0 THEN 'own@x.com' WHEN doc_id % 4 = 1 THEN 'hr@s1.com' ELSE '' END AS public_email, CASE WHEN doc_id % 4 = 1 THEN 'Ann Lee' ELSE '' END AS best_contact_name FROM documents""")

@@ -282,7 +282,7 @@ PAY_LINE = "(?i)" + "|".join(re.escape(t) for t in fv.PAY_LINE_TOKENS)
 
 def resolved_pay(source: str) -> str:
     """-> `pay` with salary_min/max, day_rate_min/max, currency."""
-    line = f"substr(array_to_string(list_filter(string_split_regex(description, '\\r\\n|[\\n\\r\\v\\f\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda l: regexp_matches(lower(l), {q(PAY_LINE)})), ' '), 1, 2000)"
+    line = f"array_to_string(list_filter(string_split_regex(description, '\\r\\n|[\\n\\r\\v\\f\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda l: regexp_matches(lower(l), {q(PAY_LINE)})), ' ')"
     return f"""{pay_ctes(source, 'salary_raw', 'f_')},
 b0 AS (SELECT *, nullif(salary_min, 0) AS pmin, nullif(salary_max, 0) AS pmax FROM f_y),
 b1 AS (SELECT *, coalesce(pmin, pmax, f_smin, f_smax, f_dmin, f_dmax) IS NULL AS silent, {line} AS pay_line FROM b0),
@@ -362,7 +362,7 @@ PHONE_CORE = fv.PHONE.replace(r"(?<![\w])", "").replace(r"(?![\w])", "")
 PHONES = f"regexp_extract_all(' ' || description || ' ', {q('[^0-9A-Za-z_](' + PHONE_CORE + ')[^0-9A-Za-z_]')}, 1)"
 DIGITS = "regexp_replace(t, '\\D', '', 'g')"
 PHONE = f"coalesce(trim(list_filter({PHONES}, lambda t: length({DIGITS}) BETWEEN 9 AND 15 AND NOT starts_with({DIGITS}, '20'))[1]), '')"
-HEAD = "substr(description, 1, 6000)"
+HEAD = "description"
 PERSON = [
     (f"(?:our|the)\\s+({fv.ROLE_WORDS})[,:]?\\s+({fv.PERSON_NAME})", 2, 1), (f"({fv.PERSON_NAME}),\\s*({fv.ROLE_WORDS})", 1, 2),
     (f"(?:contact|speak to|reach out to|attention|attn\\.?|ask for|please contact)\\s+(?:our\\s+)?({fv.PERSON_NAME})", 1, 0)]
@@ -438,7 +438,7 @@ NET = " + ".join([
     f"CASE WHEN company_size IN ({', '.join(map(q, fv.TINY_SIZE_LABELS))}) THEN 5 ELSE 0 END", "CASE WHEN is_partnership THEN 5 ELSE 0 END",
     "CASE WHEN contains(hay, 'hiring manager') OR contains(hay, 'founder') OR contains(hay, 'cto') THEN 5 ELSE 0 END"])
 NAME = "trim(coalesce(nullif(company, ''), 'Undisclosed'))"
-DOMAIN_TEXT = f"concat_ws(' ', n_title, {norm('industry')}, {norm('substr(description, 1, 4000)')})"
+DOMAIN_TEXT = f"concat_ws(' ', n_title, {norm('industry')}, n_body)"
 FACTORS = [
     "CASE WHEN n_wide IS NULL THEN 0.96 WHEN n_wide <= 15 THEN 1.05 WHEN n_wide <= 25 THEN 1.03 WHEN n_wide <= 75 THEN 0.98 WHEN n_wide <= 150 THEN 0.85 WHEN n_wide <= 200 THEN 0.74 ELSE 0.6 END",
     "CASE WHEN age IS NULL THEN 0.9 WHEN age <= 1 THEN 1.03 WHEN age <= 7 THEN 1.0 WHEN age <= 21 THEN 0.9 WHEN age <= 45 THEN 0.76 ELSE 0.58 END",

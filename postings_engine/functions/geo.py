@@ -21,7 +21,7 @@ def country_aliases() -> list[tuple[str, str]]:
     """(alias, country); the earlier country keeps an alias two of them share."""
     out: dict[str, str] = {}
     for country, (terms, _) in fv.COUNTRIES.items():
-        for alias in (country.lower(), *terms.split(", ")):
+        for alias in (country.lower(), *terms):
             out.setdefault(alias, country)
     return list(out.items())
 

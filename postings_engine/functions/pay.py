@@ -62,10 +62,10 @@ def parse_pay(df: DataFrame, col: str, out: str = "pay") -> DataFrame:
 
 
 def pay_lines(body: Column) -> Column:
-    """The pay-bearing lines of a body, joined, first 2000 characters."""
+    """The pay-bearing lines of a body, joined."""
     lines = F.filter(F.split(body, r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"), lambda line: F.lower(line).rlike(
         "|".join(t.replace("$", r"\$") for t in fv.PAY_LINE_TOKENS)))
-    return F.substring(F.array_join(lines, " "), 1, 2000)
+    return F.array_join(lines, " ")
 
 
 def _truthy(c: Column) -> Column:

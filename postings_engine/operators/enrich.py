@@ -46,8 +46,8 @@ _CONTACTS = (
 
 
 def extract_person(df: DataFrame, col: str = "description") -> DataFrame:
-    """Named contact and role from the first 6000 characters; default role "Hiring contact"."""
-    text = F.substring(F.col(col), 1, 6000)
+    """Named contact and role from the whole text; default role "Hiring contact"."""
+    text = F.col(col)
     found = []
     for pattern, name_at, role_at in _CONTACTS:
         name = F.trim(F.regexp_extract(text, pattern, name_at))
@@ -121,7 +121,7 @@ def page_emails(html: Column) -> Column:
     found = F.array_distinct(F.transform(
         F.regexp_extract_all(html, F.lit(f"({fv.SITE_EMAIL})"), F.lit(1)),
         lambda e: F.lower(F.regexp_replace(F.trim(e), r"^\.+|\.+$", ""))))
-    return F.filter(found, lambda e: (e != "") & (F.length(e) <= 60) & ~e.rlike(fv.SITE_EMAIL_UNWANTED)
+    return F.filter(found, lambda e: (e != "") & ~e.rlike(fv.SITE_EMAIL_UNWANTED)
                     & e.rlike(fv.SITE_EMAIL_TLD))
 
 
@@ -136,9 +136,10 @@ def page_people(html: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(pair(first, 1, 2), pair(second, 2, 1))))
 
 
-def site_contacts(pages: DataFrame, careers: DataFrame | None = None) -> DataFrame:
-    """Per site: up to four ranked e-mails and four "Name — Role" entries, from its first
-    six contact-style pages. `pages` is (url, html); `careers` optionally names each site's
+def site_contacts(pages: DataFrame, careers: DataFrame | None = None, max_pages: int | None = None,
+                  max_entries: int | None = None) -> DataFrame:
+    """Per site: ranked e-mails and "Name — Role" entries from its contact-style pages, of each
+    the first `max_entries`, from the first `max_pages` pages; no limit unless one is given. `pages` is (url, html); `careers` optionally names each site's
     own careers page as (site, careers_page), read second.
 
     Only the listed paths are ever read, so a site contributes at most a dozen distinct
@@ -156,14 +157,17 @@ def site_contacts(pages: DataFrame, careers: DataFrame | None = None) -> DataFra
     one = known.where(F.col("rank").isNotNull()).groupBy("site", "page").agg(
         F.min("rank").alias("rank"), F.min("html").alias("html"))
     first = Window.partitionBy("site").orderBy("rank")
-    read = (one.withColumn("n", F.row_number().over(first)).where(F.col("n") <= fv.SITE_MAX_PAGES)
+    numbered = one.withColumn("n", F.row_number().over(first))
+    if max_pages is not None:
+        numbered = numbered.where(F.col("n") <= max_pages)
+    read = (numbered
             .select("site", "n", page_emails(F.col("html")).alias("e"), page_people(F.col("html")).alias("p")))
     by_rank = F.transform(F.array_sort(F.transform(
         F.array_distinct(F.flatten(F.collect_list("e"))), lambda a: F.struct(email_rank(a).alias("r"), a.alias("a")))),
         lambda s: s["a"])
     in_order = F.transform(F.array_sort(F.collect_list(F.struct("n", "p"))), lambda s: s["p"])
-    return read.groupBy("site").agg(F.slice(by_rank, 1, 4).alias("emails"),
-                                    F.slice(F.array_distinct(F.flatten(in_order)), 1, 4).alias("people"))
+    cut = lambda entries: entries if max_entries is None else F.slice(entries, 1, max_entries)
+    return read.groupBy("site").agg(cut(by_rank).alias("emails"), cut(F.array_distinct(F.flatten(in_order))).alias("people"))
 
 
 def fill_contacts(leads: DataFrame, contacts: DataFrame) -> DataFrame:
@@ -196,7 +200,7 @@ def fill_bodies(postings: DataFrame, adverts: DataFrame, sources, run_ts: Column
     use = F.coalesce(use, no())
     df = joined.withColumn("body_filled", use)
     use = F.col("body_filled")
-    return (df.withColumn("description", F.when(use, F.substring("_body", 1, fv.MAX_BODY_CHARS)).otherwise(F.col("description")))
+    return (df.withColumn("description", F.when(use, F.col("_body")).otherwise(F.col("description")))
             .withColumn("truncated_description", F.col("truncated_description") & ~use)
             .withColumn("posted_at", F.when(use & F.col("posted_at").isNull(), posted_timestamp(F.col("_posted"), run_ts))
                         .otherwise(F.col("posted_at")))

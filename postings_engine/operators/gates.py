@@ -135,7 +135,7 @@ def latest_crawl(crawl: DataFrame) -> DataFrame:
 def closed_phrase(body: Column) -> Column:
     """First marker in list order. The page is normalised once and searched in one pass for
     any marker; which one comes first in the list only matters for pages that have one."""
-    text = F.array(normalise(F.substring(body, 1, 60000)))
+    text = F.array(normalise(body))
     found = F.transform(text, lambda t: F.when(mentions(t, fv.CLOSED_MARKERS), F.get(
         F.filter(terms(fv.CLOSED_MARKERS), lambda m: t.contains(m)), F.lit(0))))
     return F.get(found, F.lit(0))

@@ -23,11 +23,11 @@ def fresh_answers(verdicts: DataFrame, kind: str, run_ts: Column, ttl_days: floa
     return _latest(verdicts, kind).where(age <= ttl_days * 86400) if ttl_days > 0 else _latest(verdicts, kind).limit(0)
 
 
-def verdict_worklist(leads: DataFrame, verdicts: DataFrame, kind: str, run_ts: Column, ttl_days: float, cap: int) -> DataFrame:
-    """Best-first leads without a fresh answer, at most `cap` (a top-k, not a full sort)."""
+def verdict_worklist(leads: DataFrame, verdicts: DataFrame, kind: str, run_ts: Column, ttl_days: float, cap: int | None = None) -> DataFrame:
+    """Best-first leads without a fresh answer; with a cap a top-k, not a full sort."""
     known = fresh_answers(verdicts, kind, run_ts, ttl_days).select("fingerprint")
-    return (leads.join(known, "fingerprint", "left_anti")
-            .orderBy(F.desc("match_score"), "seq").limit(cap))
+    ordered = leads.join(known, "fingerprint", "left_anti").orderBy(F.desc("match_score"), "seq")
+    return ordered if cap is None else ordered.limit(cap)
 
 
 def verdict_hits(leads: DataFrame, verdicts: DataFrame, kind: str, run_ts: Column, ttl_days: float) -> DataFrame:
@@ -80,9 +80,9 @@ def apply_fit(leads: DataFrame, verdicts: DataFrame, weight: float = fv.FIT_WEIG
     a, judged = F.col("answer"), F.col("answer").isNotNull()
     df = joined.select("*", judged.alias("has_fit_verdict"), _bounded(a["fit"]).alias("model_fit"),
                        _bounded(a["chance"]).alias("model_chance"), F.trim(F.coalesce(a["verdict"], F.lit(""))).alias("model_verdict"))
-    named = lambda arr, n: F.filter(F.transform(F.slice(F.coalesce(arr, F.array().cast("array<string>")), 1, n), lambda x: F.trim(x)), lambda x: x != "")
+    named = lambda arr: F.filter(F.transform(F.coalesce(arr, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
     said = lambda arr: F.transform(arr, lambda x: F.concat(F.lit("Assessed: "), x))
-    strengths, gaps = named(a["strengths"], 4), named(a["gaps"], 3)
+    strengths, gaps = named(a["strengths"]), named(a["gaps"])
     headline = F.array_compact(F.array(F.when(F.col("model_verdict") != "", F.format_string(
         "Verdict: %s — fit %d, reply chance %d", F.col("model_verdict"), F.col("model_fit"), F.col("model_chance")))))
     blended = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.bround(

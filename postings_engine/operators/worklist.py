@@ -9,9 +9,6 @@ from .. import fixed_values as fv
 from ..functions.text import any_of, has_any, no
 from ..profile import SearchProfile
 
-CAPS = {"bodies": 150, "details": 400, "details_deep": 900, "listing": 120}
-
-
 def report_keys() -> list[Column]:
     return [F.desc("match_score"), F.desc(F.coalesce("posted_at", F.timestamp_seconds(F.lit(0)))), F.asc("seq")]
 
@@ -27,7 +24,7 @@ def _newest() -> Column:
 
 def worklist(df: DataFrame, store: DataFrame, preset: str, prof: SearchProfile, cap: int | None = None,
              sources: tuple = ()) -> DataFrame:
-    """What to fetch next: rows the store cannot serve (by `key`), in preset order, first N."""
+    """What to fetch next: rows the store cannot serve (by `key`), in preset order; the first `cap` if given."""
     served = store.select("key").distinct()
     pending = df.join(served, "key", "left_anti")
     title, where = F.col("n_title"), F.col("n_location")
@@ -41,17 +38,19 @@ def worklist(df: DataFrame, store: DataFrame, preset: str, prof: SearchProfile,
         order = [flag(title.contains(prof.primary) if prof.primary else no()),
                  flag(title.contains(second) if second else no()), _newest()]
     elif preset == "listing":
-        terms = prof.core_terms + prof.secondary_terms[:12]
+        terms = prof.core_terms + prof.secondary_terms
         relevant = has_any(F.lower("path"), terms) if terms else F.lit(True)
         pending = pending.groupBy("path", "key").agg(F.min("seq").alias("seq"))
         order = [flag(relevant)]
     else:
         raise ValueError(f"unknown preset {preset!r}")
-    return pending.orderBy(*order, "seq").limit(CAPS[preset] if cap is None else cap)
+    ordered = pending.orderBy(*order, "seq")
+    return ordered if cap is None else ordered.limit(cap)
 
 
-def search_plan(spark, prof: SearchProfile, deep: bool = False) -> DataFrame:
-    """Every (keywords, region, job type) search, in order. Sized by the profile alone."""
+def search_plan(spark, prof: SearchProfile, deep: bool = True, max_queries: int | None = None) -> DataFrame:
+    """Every (keywords, region, job type) search, in order. Sized by the profile alone. A shallow plan
+    keeps the later sweeps to the first regions; `max_queries` bounds the keywords of each sweep."""
     geos = spark.createDataFrame([(i, n, g) for i, (n, g) in enumerate(fv.SEARCH_GEOS)], "pos int, region string, geo_id string")
     wanted = {r.lower() for r in prof.target_regions} | ({prof.home_country.lower()} if prof.home_country else set())
     if wanted:
@@ -65,9 +64,9 @@ def search_plan(spark, prof: SearchProfile, deep: bool = False) -> DataFrame:
     from pyspark.sql import Window
     geos = geos.withColumn("rank", F.row_number().over(Window.orderBy("pos")))  # at most 22 rows
     queries = tuple(q for q in (prof.search_queries or (prof.query,)) if q)
-    broader = tuple(t for t in prof.secondary_terms if " " in t)[:9] or queries[:3]
-    sweeps = [(1, i, q, "", "") for i, q in enumerate(queries[:5])] + [(2, i, q, "", "") for i, q in enumerate(broader)]
-    sweeps += [(3, j * 10 + i, q, code, label) for j, (code, label) in enumerate(fv.JOB_TYPE_SWEEPS) for i, q in enumerate(queries[:4])]
+    broader = tuple(t for t in prof.secondary_terms if " " in t)[:max_queries] or queries[:max_queries]
+    sweeps = [(1, i, q, "", "") for i, q in enumerate(queries[:max_queries])] + [(2, i, q, "", "") for i, q in enumerate(broader)]
+    sweeps += [(3, j * len(queries) + i, q, code, label) for j, (code, label) in enumerate(fv.JOB_TYPE_SWEEPS) for i, q in enumerate(queries[:max_queries])]
     table = spark.createDataFrame(sweeps, "sweep int, n int, keywords string, job_type string, label string")
     cap = F.when(F.col("sweep") == 2, fv.SECONDARY_GEOS).when(F.col("sweep") == 3, fv.JOB_TYPE_GEOS)
     within = F.lit(True) if deep else F.coalesce(F.col("rank") <= cap, F.lit(True))

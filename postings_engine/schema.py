@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +20,17 @@ POSTINGS = T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in
                          (part.split() for part in POSTINGS_DDL.replace("\n", " ").split(",") if part.strip())])
 
 
+#: A feed's rows are numbered below 2**58, its items within a payload or page below 2**20.
+ROW_BITS, ITEM_BITS = 58, 20
+
+
+def place_of(owner: Column, item: Column, bits: int = ITEM_BITS, owner_bits: int = ROW_BITS - ITEM_BITS) -> Column:
+    """owner and item as one number that keeps their order. Numbers that do not fit raise an error:
+    two rows must never share a place."""
+    bad = (owner < 0) | (owner >= 1 << owner_bits) | (item < 0) | (item >= 1 << bits)
+    return F.when(bad, F.raise_error(F.lit("a row number is too large to keep its place")).cast("long")).otherwise(owner * (1 << bits) + item)
+
+
 def to_postings(df: DataFrame) -> DataFrame:
     """Project to the schema: missing columns are added, text is never null."""
     have = set(df.columns)

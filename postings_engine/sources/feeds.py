@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import fixed_values as fv
 from ..functions.text import any_of, no, normalise, url_scheme
 from ..operators.skew import salted_lookup
-from ..schema import to_postings
+from ..schema import ROW_BITS, place_of, to_postings
 
 CORPUS_DDL = ("id string, source string, title string, company string, location string, url string, description string, "
               "days_ago int, hours_ago int, employment_type string, salary_min double, salary_max double, "
@@ -54,7 +54,7 @@ def as_tags(df: DataFrame, col: str, out: str = "tags") -> DataFrame:
     return df.withColumn(out, F.coalesce(tags_of(F.col(col), kind), F.array().cast("array<string>")))
 
 
-ROW_BITS = 44
+FAN_IN = 32
 
 
 def union_feeds(feeds: dict[str, DataFrame], order: tuple[str, ...] = fv.FEED_ORDER) -> DataFrame:
@@ -65,7 +65,7 @@ def union_feeds(feeds: dict[str, DataFrame], order: tuple[str, ...] = fv.FEED_OR
     for name, df in feeds.items():
         at = order.index(name) if name in order else len(order)
         row = F.col("row_no") if "row_no" in df.columns else F.monotonically_increasing_id()
-        df = df.select("*", (F.lit(at).cast("long") * (1 << ROW_BITS) + row).alias("_seq"))
+        df = df.select("*", place_of(F.lit(at).cast("long"), row, ROW_BITS, 63 - ROW_BITS).alias("_seq"))
         df = to_postings(df.drop("seq").withColumnRenamed("_seq", "seq"))
         if name in fv.REMOTE_ONLY_FEEDS:
             df = df.withColumn("is_remote", F.coalesce("is_remote", F.lit(True)))
@@ -90,7 +90,7 @@ def source_stats(manifest: DataFrame, postings: DataFrame) -> DataFrame:
     counts = postings.groupBy(F.col("source").alias("name")).agg(F.count(F.lit(1)).alias("_n"))
     return manifest.join(counts, "name", "left").select(
         "name", F.when(F.col("ok"), F.coalesce("_n", F.lit(0))).otherwise(0).cast("long").alias("raw_count"), "ok",
-        F.substring(F.coalesce("error", F.lit("")), 1, 200).alias("error"), F.round("elapsed", 1).alias("elapsed"))
+        F.coalesce("error", F.lit("")).alias("error"), F.round("elapsed", 1).alias("elapsed"))
 
 
 def route_feeds(feeds: DataFrame, wanted: tuple[str, ...]) -> DataFrame:
@@ -108,8 +108,8 @@ def seed_boards(boards: DataFrame, wanted: tuple[str, ...]) -> DataFrame:
     return boards.where((region == "") | (any_of(hits) if wanted else F.lit(True)))
 
 
-def board_tokens(postings: DataFrame, cap: int = 60) -> DataFrame:
-    """(kind, token) of employer boards linked from any URL, in system order, first `cap`."""
+def board_tokens(postings: DataFrame, cap: int | None = None) -> DataFrame:
+    """(kind, token) of employer boards linked from any URL, in system order, the first `cap` if one is given."""
     urls = postings.select(F.explode(F.array("url", "apply_url", "company_website")).alias("u")).where("u <> ''")
     def tokens(kind, pattern):
         return F.transform(F.regexp_extract_all("u", F.lit("(?i)" + pattern), F.lit(1)),
@@ -119,7 +119,8 @@ def board_tokens(postings: DataFrame, cap: int = 60) -> DataFrame:
     distinct = rows.select(F.explode(found).alias("t")).select("t.*").distinct()
     systems = {k: i for i, k in enumerate(dict.fromkeys(k for k, _ in fv.BOARD_TOKENS))}
     place = F.create_map(*[F.lit(x) for kv in systems.items() for x in kv])[F.col("kind")]
-    return distinct.select("kind", "token", place.alias("place")).orderBy("place", "token").limit(cap).select("kind", "token")
+    ordered = distinct.select("kind", "token", place.alias("place")).orderBy("place", "token")
+    return (ordered if cap is None else ordered.limit(cap)).select("kind", "token")
 
 
 def with_market_code(df: DataFrame, col: str = "market") -> DataFrame:
@@ -146,13 +147,18 @@ def url_objection(template: Column) -> Column:
             .when(~host.contains("."), "no public hostname").otherwise(""))
 
 
-def screen_urls(candidates: DataFrame, cap: int = 12, by: str = "country", col: str = "url_template") -> DataFrame:
-    """Adds `reason`, and `kept` for the first `cap` safe templates of each group by seq. The
-    cap-th safe seq of a group comes from a bounded aggregate, not from ordering the group."""
+def screen_urls(candidates: DataFrame, cap: int | None = None, by: str = "country", col: str = "url_template") -> DataFrame:
+    """Adds `reason`, and `kept` for the safe templates: all of them or, with a cap, the first `cap`
+    of each group by seq. Groups are trimmed to `cap` in ever fewer hashed pieces, so no array
+    holds more than FAN_IN times the cap."""
     df = candidates.withColumn("reason", url_objection(F.coalesce(col, F.lit(""))))
-    chunk = F.floor(F.col("seq") / (1 << 16))
-    lows = lambda c: F.slice(F.array_sort(c), 1, cap)
-    # sixteen-bit seq ranges first, so a large group is trimmed piecewise before it meets
-    partial = df.where("reason = ''").groupBy(by, chunk.alias("_c")).agg(lows(F.collect_list("seq")).alias("s"))
-    kept = partial.groupBy(by).agg(lows(F.flatten(F.collect_list("s"))).alias("s")).select(F.explode("s").alias("seq"), F.lit(True).alias("kept"))
-    return df.join(kept, "seq", "left").withColumn("kept", F.coalesce("kept", no()))
+    safe = F.col("reason") == ""
+    if cap is None:
+        return df.withColumn("kept", safe)
+    pieces, lows = 1 << 15, df.where(safe).select(by, "seq")
+    while pieces:
+        piece = F.pmod(F.xxhash64("seq"), F.lit(pieces))
+        place = Window.partitionBy(by, "_piece").orderBy("seq")
+        lows = lows.withColumn("_piece", piece).withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= cap).select(by, "seq")
+        pieces //= FAN_IN
+    return df.join(lows.select("seq", F.lit(True).alias("kept")), "seq", "left").withColumn("kept", F.coalesce("kept", no()))

@@ -17,7 +17,7 @@ from ..functions.dates import posted_timestamp
 from ..functions.pay import amount
 from ..functions.text import html_to_text, no
 from ..registry import feed, register_feed
-from ..schema import to_postings
+from ..schema import place_of, to_postings
 
 
 @dataclass(frozen=True)
@@ -169,7 +169,7 @@ MAPS = {
     "teamtailor": FieldMap(("$.items",), "tt-", _with_token(("id", "url", "external_url")), "title", _board_name(lambda r: r.text("title", True)),
                            ("url", "external_url"), (), ("content_html", "content_text"), "location", "", ("date_published", "date_modified"),
                            constants=_ATS("teamtailor")),
-    "careerjet": FieldMap(("$.jobs",), "careerjet-", lambda r: F.right(r.text("url"), F.lit(40)), "title", "company", "url", (), "description",
+    "careerjet": FieldMap(("$.jobs",), "careerjet-", lambda r: r.text("url"), "title", "company", "url", (), "description",
                           "locations", "", "date", (), "salary", _yearly("salary_min"), _yearly("salary_max"), "salary_currency_code",
                           company_default="Undisclosed", keep=lambda r: r.text("url").isNotNull() & r.text("title").isNotNull(), constants=_SNIPPET),
     "adzuna": FieldMap(("$.results",), "adzuna-", "id", "title", "company.display_name", "redirect_url", (), "description",
@@ -221,7 +221,7 @@ def map_json_feed(payloads: DataFrame, name: str, run_ts: Column, default_locati
     apply_url = own_apply if name == "himalayas" else F.coalesce(own_apply, url)
     location = F.coalesce(F.nullif(r.first(spec.location), F.lit("")), F.lit(spec.location_default or default_location))
     out = items.select(
-        (F.col("payload_id") * (1 << 20) + F.col("pos")).alias("row_no"),
+        place_of(F.col("payload_id"), F.col("pos")).alias("row_no"),
         F.concat(F.lit(spec.prefix), own_id).alias("source_id"), text(spec.title).alias("title"),
         F.coalesce(F.nullif(r.first(spec.company), F.lit("")), F.lit(spec.company_default)).alias("company"), url.alias("url"),
         apply_url.alias("apply_url"), html_to_text(r.first(spec.description)).alias("description"), location.alias("location_raw"),

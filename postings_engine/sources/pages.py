@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 from ..functions.dates import posted_timestamp
 from ..functions.text import (has_any, html_to_text, strip_space, unescape_entities, url_host, url_path, url_scheme)
-from ..schema import to_postings
+from ..schema import place_of, to_postings
 
 # ----------------------------------------------------------- structured data (JSON-LD)
 
@@ -20,11 +20,11 @@ _NODES = "page_id bigint, block int, pos int, kind string, node_id string, body
 
 
 def ld_blocks(pages: DataFrame) -> DataFrame:
-    """(page_id, block, data): every ld+json script of every page, found JVM-side so that
-    only the blocks themselves cross to Python."""
+    """(page_id, blocks): the ld+json scripts of every page, found JVM-side so that only they
+    cross to Python."""
     blocks = F.regexp_extract_all("html", F.lit(fv.LD_JSON_BLOCK), F.lit(1))
     return (pages.where(F.col("html").contains("ld+json"))
-            .select("page_id", F.posexplode(blocks).alias("block", "data")))
+            .select("page_id", blocks.alias("blocks")))
 
 
 def _nodes_of(data) -> Iterator[dict]:
@@ -42,16 +42,19 @@ def _nodes_of(data) -> Iterator[dict]:
 def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
-        for page, block, data in zip(batch["page_id"], batch["block"], batch["data"]):
-            try:
-                document = json.loads(data.strip())
-            except ValueError:
-                continue
-            for pos, node in enumerate(_nodes_of(document)):
-                kind = str(node.get("@type") or "")
-                name = node.get("@id") if isinstance(node.get("@id"), str) else None
-                if kind in ("JobPosting", "ListItem") or (name and len(node) > 1):
-                    out.append((page, block, pos, kind, name, json.dumps(node)))
+        for page, blocks in zip(batch["page_id"], batch["blocks"]):
+            at = 0  # objects are numbered through the page
+            for block, data in enumerate(blocks):
+                try:
+                    document = json.loads(data.strip())
+                except ValueError:
+                    continue
+                for pos, node in enumerate(_nodes_of(document), at):
+                    kind = str(node.get("@type") or "")
+                    name = node.get("@id") if isinstance(node.get("@id"), str) else None
+                    if kind in ("JobPosting", "ListItem") or (name and len(node) > 1):
+                        out.append((page, block, pos, kind, name, json.dumps(node)))
+                    at = pos + 1
         yield pd.DataFrame(out, columns=["page_id", "block", "pos", "kind", "node_id", "body"])
 
 
@@ -90,7 +93,7 @@ def jsonld_postings(pages: DataFrame, run_ts: Column) -> DataFrame:
     url = F.coalesce(F.nullif(_text("$.url"), F.lit("")), "page_url")
     out = joined.where(title != "").select(
         _page_seq().alias("seq"),
-        F.concat("platform", F.lit("-"), F.coalesce(F.nullif(_text("$.identifier"), F.lit("")), url), F.lit("-"), F.substring(title, 1, 40)).alias("source_id"),
+        F.concat("platform", F.lit("-"), F.coalesce(F.nullif(_text("$.identifier"), F.lit("")), url), F.lit("-"), title).alias("source_id"),
         title.alias("title"), company.alias("company"), url.alias("url"), url.alias("apply_url"), html_to_text(_text("$.description")).alias("description"),
         F.when(where != "", where).otherwise(F.col("country")).alias("location_raw"), posted_timestamp(_text("$.datePosted"), run_ts).alias("posted_at"),
         _text("$.employmentType").alias("employment_type_raw"), F.col("platform").alias("discovered_platform"), F.lit(True).alias("truncated_description"))
@@ -98,7 +101,7 @@ def jsonld_postings(pages: DataFrame, run_ts: Column) -> DataFrame:
 
 
 def _page_seq() -> Column:
-    return F.col("page_id") * (1 << 20) + F.col("block") * (1 << 12) + F.col("pos")
+    return place_of(F.col("page_id"), F.col("pos"))
 
 
 def _stamped(out: DataFrame, source: str) -> DataFrame:
@@ -151,7 +154,7 @@ def _resolved(base: Column, href: Column) -> Column:
             .when(href.startswith("?"), F.concat(origin, url_path(base), href)).otherwise(F.concat(origin, rooted)))
 
 
-def detail_links(pages: DataFrame, max_per_page: int = 12, hints: tuple[str, ...] = fv.DETAIL_HINTS) -> DataFrame:
+def detail_links(pages: DataFrame, max_per_page: int | None = None, hints: tuple[str, ...] = fv.DETAIL_HINTS) -> DataFrame:
     """(page_id, n, link): same-host https advert links in document order. All of it happens
     inside the page's own row, so nothing is shuffled."""
     base = F.col("url")
@@ -161,7 +164,9 @@ def detail_links(pages: DataFrame, max_per_page: int = 12, hints: tuple[str, ...
     path = lambda u: F.lower(url_path(u))
     good = F.filter(links, lambda u: (url_scheme(u) == "https") & (url_host(u) == url_host(base)) & has_any(path(u), hints)
                     & (F.length(F.regexp_replace(F.regexp_replace(path(u), "/+$", ""), "[^/]", "")) >= 2))
-    kept = F.slice(F.array_distinct(F.transform(good, lambda u: F.split(u, r"\?", 2)[0])), 1, max_per_page)
+    kept = F.array_distinct(F.transform(good, lambda u: F.split(u, r"\?", 2)[0]))
+    if max_per_page is not None:
+        kept = F.slice(kept, 1, max_per_page)
     return pages.select("page_id", F.posexplode(kept).alias("n", "link"))
 
 
@@ -198,7 +203,7 @@ def html_cards(pages: DataFrame, run_ts: Column, selectors: dict | None = None)
                       _inner(card, s["location"]).alias("location_raw"), F.regexp_extract(card, s["date"], 1).alias("date"), link.alias("link"), job.alias("job"))
     df = df.where("title <> '' and job <> ''")
     url = F.when(F.col("link") != "", F.col("link")).otherwise(F.concat(F.lit(s["link_template"]), "job"))
-    out = df.select((F.col("page_id") * (1 << 20) + F.col("pos")).alias("seq"), F.concat(F.lit(s["prefix"]), "job").alias("source_id"), "title", "company",
+    out = df.select(place_of(F.col("page_id"), F.col("pos")).alias("seq"), F.concat(F.lit(s["prefix"]), "job").alias("source_id"), "title", "company",
                     url.alias("url"), url.alias("apply_url"), "location_raw", posted_timestamp(F.col("date"), run_ts).alias("posted_at"),
                     F.lit(True).alias("is_remote"), F.col("job").alias("linkedin_job_id"), F.lit(True).alias("truncated_description"))
     return _stamped(out, s["source"])
@@ -216,7 +221,7 @@ def html_detail(pages: DataFrame) -> DataFrame:
     facts = F.arrays_zip(F.transform(labels, F.lower).alias("k"), values.alias("v"))
     last = lambda word: F.coalesce(F.try_element_at(F.transform(F.filter(facts, lambda p: p["k"].contains(word)), lambda p: p["v"]), F.lit(-1)), F.lit(""))
     return pages.select(
-        "page_id", F.when(F.length(body) > 200, F.substring(body, 1, fv.MAX_BODY_CHARS)).otherwise("").alias("body"),
+        "page_id", F.when(F.length(body) > 200, body).otherwise("").alias("body"),
         last("employment type").alias("employment_type"), last("seniority").alias("seniority_tag"),
         strip_space(unescape_entities(F.regexp_extract(html, r"num-applicants__caption[^>]*>\s*([^<]+?)\s*<", 1))).alias("applicants"),
         F.regexp_extract(html, r'topcard__org-name-link[^>]*href="([^"?]+)', 1).alias("company_linkedin"))
@@ -239,7 +244,7 @@ def offer_pages(pages: DataFrame, run_ts: Column) -> DataFrame:
     names = F.flatten(F.transform(raw, lambda e: F.array(F.try_variant_get(e, "$.name", "string"), F.try_variant_get(e, "$.address.addressCountry", "string"))))
     listed = F.array_join(F.array_distinct(F.filter(names, lambda x: x != "")), ", ")
     out = df.where("description <> ''").select(
-        F.col("page_id").alias("seq"), F.concat(F.lit("jobgether-"), F.substring(F.regexp_extract(url_path(F.col("url")), "([^/]*)$", 1), 1, 60)).alias("source_id"),
+        F.col("page_id").alias("seq"), F.concat(F.lit("jobgether-"), F.regexp_extract(url_path(F.col("url")), "([^/]*)$", 1)).alias("source_id"),
         "title", F.when(F.col("name") != "", F.col("name")).otherwise("Undisclosed").alias("company"), "url", F.col("url").alias("apply_url"), "description",
         F.when(stated != "", stated).when(F.coalesce(listed, F.lit("")) != "", listed).otherwise("Remote").alias("location_raw"),
         posted_timestamp(F.col("date"), run_ts).alias("posted_at"), F.initcap(F.replace("emp", F.lit("_"), F.lit(" "))).alias("employment_type_raw"),
@@ -256,10 +261,10 @@ def thread_postings(comments: DataFrame, run_ts: Column) -> DataFrame:
     body = html_to_text(F.col("comment_text"))
     df = comments.where(F.col("parent_id") == F.col("story_id")).select("object_id", "row_no", "created_at", body.alias("body"))
     df = df.where(F.length("body") >= 120).withColumn("line", strip_space(F.split("body", "\n", 2)[0]))
-    company = F.substring(F.trim(F.split("line", r"\|", 2)[0]), 1, 60)
+    company = F.trim(F.split("line", r"\|", 2)[0])
     url = F.concat(F.lit("https://news.ycombinator.com/item?id="), F.col("object_id").cast("string"))
     out = df.select(F.col("row_no").alias("seq"), F.concat(F.lit("hn-"), F.col("object_id").cast("string")).alias("source_id"),
-                    F.substring("line", 1, 120).alias("title"), F.when(company != "", company).otherwise("Undisclosed").alias("company"),
+                    F.col("line").alias("title"), F.when(company != "", company).otherwise("Undisclosed").alias("company"),
                     url.alias("url"), url.alias("apply_url"), F.col("body").alias("description"),
                     posted_timestamp(F.col("created_at"), run_ts).alias("posted_at"))
     return _stamped(out, "hackernews")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import posted_timestamp
 from ..functions.text import _entity_tables, html_to_text, strip_space, unescape_entities
 from ..registry import feed, register_feed
-from ..schema import to_postings
+from ..schema import place_of, to_postings
 
 
 @dataclass(frozen=True)
@@ -68,7 +68,7 @@ def map_rss_feed(payloads: DataFrame, name: str, run_ts: Column) -> DataFrame:
     spec: RssMap = feed(name)
     i = F.col("item")
     df = rss_items(payloads).select(
-        (F.col("payload_id") * (1 << 20) + F.col("pos")).alias("row_no"),
+        place_of(F.col("payload_id"), F.col("pos")).alias("row_no"),
         element(i, "title").alias("t"), element(i, "link").alias("link"), element(i, "guid").alias("guid"),
         element(i, "dc:creator").alias("creator"), element(i, "content:encoded").alias("encoded"),
         element(i, "description").alias("summary"), element(i, "pubDate").alias("date"), element(i, "category").alias("category"),
@@ -109,7 +109,7 @@ def platform_rss(payloads: DataFrame, run_ts: Column) -> DataFrame:
     df = payloads.select("payload_id", "platform", "label", "country")
     i = F.col("item")
     items = rss_items(payloads).join(df, "payload_id").select(
-        (F.col("payload_id") * (1 << 20) + F.col("pos")).alias("seq"), "platform", "label", "country",
+        place_of(F.col("payload_id"), F.col("pos")).alias("seq"), "platform", "label", "country",
         element(i, "title").alias("title"), element(i, "link").alias("url"), element(i, "guid").alias("guid"),
         element(i, "dc:creator").alias("creator"), element(i, "description").alias("summary"), element(i, "pubDate").alias("date"))
     out = items.where("url <> ''").select(

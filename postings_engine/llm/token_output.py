@@ -3,21 +3,15 @@
 Rows are range-partitioned and sorted by doc_id, so that each file holds a range of ids and reads
 that name an id are pruned by file and stripe statistics, row indexes and Bloom filters. Integers
 are run-length encoded by ORC; stripes are independent, so readers share out the stripes of a file.
-A row carries the number of its part and its first token's place in that part; the place in the
+A row carries the number of its part, its first token's place in that part and its length; the place in the
 whole corpus is that plus the totals of the parts before it.
 
-Equal pieces of text are tokenized once per task. A piece is white space and what follows it up to
-the next white space: the tokenizer's own rule never joins what stands on the two sides of such a
-place, so the ids of a text are its pieces' ids in turn. Texts with white space outside ASCII are
-tokenized whole.
-
 Defined cases. A null text is empty: its run is the end id alone. Rows with equal doc_id stand in
 order of their text; rows with a null doc_id stand first. An empty table gives no rows. Only doc_id
 and text are written."""
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,63 +23,25 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from .common import Scratch
+from .hashing import text_pieces
+from .pretokens import shared_tokenizer
 
 FORMAT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("place", T.LongType()),
-                       T.StructField("first", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
-PIECES = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
-OTHER_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁤　﻿]")
-#: Pieces that a task remembers before it starts anew; bounds its memory, not its results.
-REMEMBERED = 400_000
-LONGEST_PIECE = 64
-#: Token ids of one written batch.
-BATCH_IDS = 1 << 20
-
-
-class PieceTokenizer:
-    """Ids of whole texts from a byte-level tokenizer file."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-        self.own = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.own.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
-
-    def ids(self, text: str) -> bytes:
-        """Token ids as little-endian 32-bit integers."""
-        if OTHER_SPACE.search(text):
-            return self.whole(text)
-        pieces, known = PIECES.findall(text), self.known
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            pass
-        if len(known) > REMEMBERED:
-            known.clear()
-        fresh = [p for p in dict.fromkeys(pieces) if p not in known]
-        extra = {}
-        for p, e in zip(fresh, self.own.encode_batch(fresh, add_special_tokens=False)):
-            (known if len(p) <= LONGEST_PIECE else extra)[p] = np.array(e.ids, "<i4").tobytes()
-        return b"".join([known[p] if p in known else extra[p] for p in pieces])
+                       T.StructField("first", T.LongType()), T.StructField("n_ids", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, parts: int | None = None, bloom_fpp: float = 0.01) -> None:
     """Writes docs(doc_id, text) in the format above to `path`. tokenizer: path of the file, the same
     on every executor."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end, place, first = PieceTokenizer(tokenizer), np.array([end_id], "<i4").tobytes(), 0, 0
+        encoder, place, first = shared_tokenizer(tokenizer), 0, 0
         for rows in batches:
-            part, held, size, lo = rows.column(2), [], 0, 0
-            for r, text in enumerate(rows.column(1)):
-                held.append(encoder.ids(text.as_py() or "") + end)
-                size += len(held[-1]) // 4
-                if size >= BATCH_IDS or r == rows.num_rows - 1:
-                    lens = np.array([len(h) // 4 for h in held], np.int64)
-                    ends = np.cumsum(lens)
-                    ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(np.frombuffer(b"".join(held), "<i4")))
-                    yield pa.RecordBatch.from_arrays([rows.column(0).slice(lo, len(held)), part.slice(lo, len(held)), pa.array(place + np.arange(len(held))), pa.array(first + ends - lens), ids], names=FORMAT.names)
-                    place, first, lo, held, size = place + len(held), first + int(ends[-1]), r + 1, [], 0
+            for lo, hi, data, offsets in text_pieces(rows.column(1)):
+                ids, at = encoder.encode(data, offsets, end_id)
+                n = hi - lo
+                runs = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([rows.column(0).slice(lo, n), rows.column(2).slice(lo, n), pa.array(place + np.arange(n)), pa.array(first + at[:-1]), pa.array(np.diff(at), pa.int32()), runs], names=FORMAT.names)
+                place, first = place + n, first + int(at[-1])
 
     keys = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
     rows = docs.select("doc_id", "text")
@@ -99,7 +55,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, part, place, first, start, ids): the documents' ids from the files, with `start`, the
     number of ids of all documents before."""
     rows = spark.read.schema(FORMAT).orc(path)
-    totals = rows.groupBy("part").agg(F.max(F.col("first") + F.size("ids")).alias("total"))
+    totals = rows.groupBy("part").agg(F.max(F.col("first") + F.col("n_ids")).alias("total"))
     # a row per file, and so a few bytes per GB of ids
     before = totals.select("part", F.coalesce(F.sum("total").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     return rows.join(F.broadcast(before), "part").select("doc_id", "part", "place", "first", (F.col("before") + F.col("first")).alias("start"), "ids")

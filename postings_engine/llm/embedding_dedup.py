@@ -1,13 +1,13 @@
-"""Embedding near-duplicates by product quantisation, with exact results.
+"""Embedding near-duplicates by product quantisation, with exact cosines.
 
 Equal vectors are one weighted point. Points go to the inverted list of their nearest coarse
-centroid; what is left of them is coded by subspace. A query visits the lists that can hold a point
-within reach: with f the difference of its squared distances to a list's centroid and to its own,
-every point of that list is at least f / (2 * distance of the centroids) away. In a list, table
-look-ups give the distance of the query to each point's code; as the true distance differs from it
-by at most the code's own error, kept with the point, no point within reach is lost. What remains is
-compared by cosine in double precision. Only the fit uses a sample; every point is indexed and every
-point is a query.
+centroid; what is left of them is coded by subspace. A query visits the lists of its nearest
+centroids, as many as a test needs: pairs with exactly the wanted cosine are made from sampled points
+and random directions, and the number of probes is the least that reaches the second point's list in
+PROBED of them. In a list, table look-ups give the distance of the query to each point's code; as the
+true distance differs from it by at most the code's own error, kept with the point, the look-ups lose
+no point within reach. What remains is compared by cosine in double precision. Only the fit uses a
+sample; every point is indexed and every point is a query.
 
 Lists are cut into chunks of bounded size, and so are the queries of a list. A chunk gives each
 query's number of links and a spanning forest of the links, never the pairs.
@@ -30,10 +30,12 @@ from pyspark.sql import functions as F
 from .common import Scratch
 from .components import components
 
-#: Lists for n points: about this times the square root of n, MOST_LISTS at most.
-LISTS_BY_ROOT, MOST_LISTS = 2.0, 4096
-#: The fit reads about this many points for each list.
-SAMPLE_PER_LIST = 16
+#: Points of a list on average, and the most lists that are fitted.
+LIST_SIZE, MOST_LISTS = 1024, 4096
+#: The fit reads about this many points for each list, LEAST_SAMPLE at least.
+SAMPLE_PER_LIST, LEAST_SAMPLE = 16, 4096
+#: Share of pairs at the border whose list the probes must reach.
+PROBED = 0.999
 SUB_WIDTH, SUB_CODES, ROUNDS = 4, 64, 8
 CHUNK, QUERIES = 4096, 16384
 #: Queries that are compared with a chunk at once.
@@ -49,6 +51,10 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return out
 
 
+def _squares(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return (x**2).sum(axis=1)[:, None] + (centres**2).sum(axis=1)[None] - 2 * x @ centres.T
+
+
 def k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = ROUNDS) -> np.ndarray:
     centres = x[rng.permutation(len(x))[:k]].copy()
     for _ in range(rounds):
@@ -66,14 +72,25 @@ class Quantiser:
     coarse: np.ndarray
     sub: np.ndarray  # subspace, code, coordinate
     reach: float
+    n_probes: int
 
     @classmethod
-    def fit(cls, x: np.ndarray, lists: int, reach: float, seed: int = 0) -> Quantiser:
+    def fit(cls, x: np.ndarray, lists: int, cosine: float, width: int, seed: int = 0) -> Quantiser:
         rng = np.random.default_rng(seed)
         coarse = k_means(x, min(lists, len(x)), rng)
         rest = (x - coarse[_nearest(x, coarse)]).reshape(len(x), -1, SUB_WIDTH)
         sub = [k_means(np.ascontiguousarray(rest[:, m]), min(SUB_CODES, len(x)), rng) for m in range(rest.shape[1])]
-        return cls(coarse, np.array(sub), reach)
+        # pairs at the border, in the coordinates that vectors have
+        x = x[:LEAST_SAMPLE]
+        other = np.zeros_like(x)
+        other[:, :width] = rng.normal(size=(len(x), width))
+        other -= (other * x).sum(axis=1, keepdims=True) * x
+        norm = np.sqrt((other**2).sum(axis=1, keepdims=True))
+        other = cosine * x + (1 - cosine**2) ** 0.5 * other / np.maximum(norm, 1e-300)
+        far = _squares(x, coarse)
+        rank = (far < far[np.arange(len(x)), _nearest(other, coarse)][:, None]).sum(axis=1)
+        n_probes = 1 + int(np.quantile(rank, PROBED, method="higher"))
+        return cls(coarse, np.array(sub), (2 - 2 * cosine) ** 0.5 + 1e-6, n_probes)
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(list, codes, shift, error): error is the distance of each point to its code."""
@@ -86,11 +103,11 @@ class Quantiser:
         shift = 2 * (self.coarse[of] * flat).sum(axis=1) + (flat**2).sum(axis=1)
         return of, codes, shift, error
 
-    def probes(self, x: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) of every list that can hold a point within reach."""
-        far = ((x**2).sum(axis=1)[:, None] + (self.coarse**2).sum(axis=1)[None] - 2 * x @ self.coarse.T)
-        apart = np.sqrt(np.maximum((self.coarse[of] ** 2).sum(axis=1)[:, None] + (self.coarse**2).sum(axis=1)[None] - 2 * self.coarse[of] @ self.coarse.T, 0))
-        return np.nonzero(far - far[np.arange(len(x)), of][:, None] <= 2 * apart * self.reach + 1e-9)
+    def probes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list) of the lists that each query visits."""
+        n = min(self.n_probes, len(self.coarse))
+        lists = np.argpartition(_squares(x, self.coarse), n - 1, axis=1)[:, :n]
+        return np.repeat(np.arange(len(x)), n), lists.ravel()
 
     def distances(self, x: np.ndarray, at: int, codes: np.ndarray, shift: np.ndarray) -> np.ndarray:
         """Squared distances of queries x to the coded points of list `at`, by table look-up."""
@@ -142,7 +159,7 @@ def _roles(points: DataFrame, quantiser, width: int) -> DataFrame:
                 own = [raw[i * 8 * width: (i + 1) * 8 * width] for i in range(n)]
                 weight, ids = part.column(3), part.column(2)
                 yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array(np.zeros(n), pa.int32()), ids, weight, pa.array(own, pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(shift), pa.array(error)], schema=POINTS)
-                row, at = q.probes(x, of)
+                row, at = q.probes(x)
                 none = pa.nulls(len(row), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(np.ones(len(row)), pa.int32()), ids.take(pa.array(row)), weight.take(pa.array(row)), pa.array([own[i] for i in row], pa.binary()), none, pa.array(np.zeros(len(row))), pa.array(np.zeros(len(row)))], schema=POINTS)
     return points.select("vector", "size", "id", "weight").mapInArrow(run, "list int, role int, id long, weight long, vector binary, codes binary, shift double, error double")
@@ -239,21 +256,20 @@ def _tiles(roles: DataFrame) -> DataFrame:
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.9, seed: int = 0) -> DataFrame:
     """vectors(vec_id, embedding) -> (vec_id, n_links, component_id, kept), a row for each row. Two
-    vectors link if their cosine is at least `cosine` (above 0)."""
+    vectors link if their cosine is at least `cosine` (above 0) and a probe meets them."""
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession, "embeddings")
     rows = keyed(vectors)
     points = scratch.save(points_of(rows), "points")
     parts = []
     for size, n in [(r["size"], r["n"]) for r in points.groupBy("size").agg(F.count("*").alias("n")).collect()]:
         width = -(-size // SUB_WIDTH) * SUB_WIDTH
-        lists = int(max(1, min(MOST_LISTS, LISTS_BY_ROOT * n**0.5)))
+        lists = max(1, min(MOST_LISTS, n // LIST_SIZE))
         own = points.where(F.col("size") == size)
-        share = min(1.0, SAMPLE_PER_LIST * lists / n)
+        share = min(1.0, max(LEAST_SAMPLE, SAMPLE_PER_LIST * lists) / n)
         raw = own.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < max(1, int(share * (1 << 20)))).select("vector").toArrow()["vector"].combine_chunks()
         if not len(raw):
             raw = own.select("vector").limit(1).toArrow()["vector"].combine_chunks()
-        reach = (2 - 2 * cosine) ** 0.5 + 1e-6
-        quantiser = spark.sparkContext.broadcast(Quantiser.fit(_unit(raw, width), lists, reach, seed))
+        quantiser = spark.sparkContext.broadcast(Quantiser.fit(_unit(raw, width), lists, cosine, size, seed))
         roles = scratch.save(_roles(own, quantiser, width), "roles")
         parts.append(scratch.save(_compare(_tiles(roles), quantiser, width, cosine), "found"))
     found = parts[0] if parts else spark.createDataFrame([], "a long, b long, links long")

@@ -158,8 +158,9 @@ def fit(labelled: DataFrame, order: int = ORDER, per_language: int = SAMPLE_PER_
     Of each language about `per_language` rows are read, or all if it has fewer. The counts that
     reach the driver are bounded by that sample. None if there is no labelled row."""
     labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
+    # a row for each language, of which the model holds a whole tree
     rates = labelled.groupBy("lang").agg((F.least(F.lit(1.0), F.lit(float(per_language)) / F.count("*")) * 2**31).cast("long").alias("below"))
-    picked = labelled.join(rates, "lang").where(F.pmod("pick", F.lit(2**31)) < F.col("below"))
+    picked = labelled.join(F.broadcast(rates), "lang").where(F.pmod("pick", F.lit(2**31)) < F.col("below"))
     counts = count_grams(picked, order).toPandas()
     grams = {lang: (g.gram.to_numpy(np.int64), g.times.to_numpy(np.int64)) for lang, g in counts.groupby("lang")}
     return build_model(grams, order) if grams else None

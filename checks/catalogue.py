@@ -515,13 +515,13 @@ def _(spark, sf):
     return all_leads(spark, sf).select("posting_id", F.regexp_extract(said, "^(fit [0-9]+ × )", 1).alias("opening"), F.regexp_extract(said, "( = [0-9]+)", 1).alias("closing"))
 
 
-_gap = """concat_ws(' · ', CASE WHEN required_years > 7 THEN 'Asks for ' || required_years || '+ years against about 7' END,
-  CASE WHEN core_skill_required = 'No' THEN 'Electrician is not named in the advert' END,
-  CASE WHEN seniority IN ('Lead', 'Principal') THEN 'Advertised at ' || seniority || ', above your stated Senior' WHEN seniority = 'Junior' THEN 'Advertised at Junior, well below your stated Senior' END,
+_gap = """concat_ws(' · ', CASE WHEN required_years > 7 THEN 'Wants ' || required_years || ' years or more, and you have 7' END,
+  CASE WHEN core_skill_required = 'No' THEN 'Does not ask for Electrician' END,
+  CASE WHEN seniority IN ('Lead', 'Principal') THEN 'Level ' || seniority || ' is above Senior' WHEN seniority = 'Junior' THEN 'Level Junior is far below Senior' END,
   CASE WHEN contains(lower(eligibility), 'not eligible') OR contains(lower(eligibility), 'unconfirmed') THEN eligibility END)"""
 
 
-@query("scr_6_gaps", S.select(f"SELECT posting_id, coalesce(nullif({_gap}, ''), 'Nothing obvious against the stated requirements') AS potential_gaps FROM sc", *_LEADS))
+@query("scr_6_gaps", S.select(f"SELECT posting_id, coalesce(nullif({_gap}, ''), 'None seen') AS potential_gaps FROM sc", *_LEADS))
 def _(spark, sf):
     return all_leads(spark, sf).select("posting_id", "potential_gaps")
 

@@ -75,14 +75,16 @@ _pairs = """(a.title_slug = b.title_slug AND a.title_slug <> '' AND least(length
 
 @query("dup_4_same_role_join", S.select(f"""SELECT a.posting_id, CAST(count(*) AS BIGINT) AS n FROM kf a JOIN kf b ON {_pairs} WHERE a.seq % 2 = 0 AND b.seq % 2 = 1 GROUP BY a.posting_id""", S.P, S.K))
 def _(spark, sf):
-    """Matches per even posting among the odd ones, counted from slug pairs: the pairs of
-    rows themselves are never written out."""
+    """Matches per even posting among the odd ones."""
     df = keyed(spark, sf)
-    left, right = df.where("seq % 2 = 0"), df.where("seq % 2 = 1")
-    slugs = dedupe._stem_pairs(left, right)
-    sizes = right.groupBy("title_slug", F.col("company_slug").alias("right_slug")).agg(F.count(F.lit(1)).alias("m"))
-    per_slug = slugs.join(sizes, ["title_slug", "right_slug"]).groupBy("title_slug", F.col("left_slug").alias("company_slug")).agg(F.sum("m").alias("n"))
-    return left.join(per_slug, ["title_slug", "company_slug"]).select("posting_id", "n")
+    return dedupe.same_role_join(df.where("seq % 2 = 0"), df.where("seq % 2 = 1")).where("same_role > 0").select("posting_id", F.col("same_role").alias("n"))
+
+
+@query("dup_4_same_role_whole", S.select(f"""SELECT a.posting_id, CAST(count(b.seq) AS BIGINT) AS n FROM kf a LEFT JOIN kf b ON {_pairs} GROUP BY a.posting_id""", S.P, S.K))
+def _(spark, sf):
+    """Every posting against the whole table."""
+    df = keyed(spark, sf)
+    return dedupe.same_role_join(df, df.select("title_slug", "company_slug")).select("posting_id", F.col("same_role").alias("n"))
 
 
 @query("dup_5_drop_covered", S.select(f"""SELECT a.posting_id FROM kf a WHERE a.seq % 3 = 0 AND NOT EXISTS (SELECT 1 FROM kf b WHERE b.seq % 7 = 1 AND (a.fingerprint = b.fingerprint OR {_pairs}))""", S.P, S.K))
@@ -292,6 +294,11 @@ def _(spark, sf):
     return df.select("company_key", "company", "opportunities", "best_match_score", "networking_score", "industry", "public_email", "careers_page")
 
 
+@query("agg_4_company_roles", S.select(f"""SELECT lower({S.NAME}) AS company_key, trim(title) AS title, CAST(min(seq) AS BIGINT) AS first_seq FROM sc WHERE {S.NAME} <> '' GROUP BY 1, 2""", *_LEADS))
+def _(spark, sf):
+    return aggregate.company_roles(all_leads(spark, sf)).select("company_key", "title", "first_seq")
+
+
 @query("agg_4_directory_of_orders", """SELECT lower(trim(c_mktsegment)) AS company_key, CAST(count(*) AS BIGINT) AS opportunities, strftime(max(o_orderdate), '%Y-%m-%d') AS latest,
   array_to_string(list_transform(list_sort(list(DISTINCT o_orderpriority)), lambda x: x), '; ') AS roles FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1""")
 def _(spark, sf):
@@ -299,7 +306,7 @@ def _(spark, sf):
     blank = {c: F.lit("") for c in aggregate._CONTACTS}
     leads = df.withColumns({"company": F.col("c_mktsegment"), "title": F.col("o_orderpriority"), "seq": F.col("o_orderkey"), "match_score": F.lit(1), "networking_score": F.lit(1),
                             "posted_date": F.to_date("o_orderdate"), "industry": F.lit(""), "startup_stage": F.lit("N/A"), "company_size": F.lit(""), **blank})
-    out = aggregate.company_directory(leads)
+    out = aggregate.company_directory(leads, joined_roles=True)
     return out.select("company_key", "opportunities", F.col("latest_posted").cast("string").alias("latest"), F.array_join(F.array_sort(F.split("roles", "; ")), "; ").alias("roles"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import once
-from ..session import cut_lineage
+from ..session import written
 from .skew import salted_lookup
 
 MIN_STEM = 5
@@ -214,7 +214,7 @@ KEY_COLUMNS = ("seq", "fingerprint", "title_slug", "company_slug", "url_key")
 def deduplicate(leads: DataFrame, run_ts: Column | None = None, tz: str = "UTC", materialise: bool = True) -> DataFrame:
     """Keys, then merge. The leads are read four times and the keys twice, so both are
     written first; without that every reader would screen and score again."""
-    keep = cut_lineage if materialise else (lambda df: df)
+    keep = (lambda df: written(df, "merge")) if materialise else (lambda df: df)
     leads = keep(leads)
     keys = keep(url_alias(variant_key(leads.select(*KEY_COLUMNS))).select("seq", "merge_key"))
     out = merge_duplicates(leads.join(keys, "seq"), full=leads)
@@ -239,14 +239,14 @@ def _stem_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     return forward.unionByName(backward).select("title_slug", "left_slug", "right_slug").distinct()
 
 
-def same_role_join(left: DataFrame, right: DataFrame, left_id: str = "posting_id", right_id: str = "posting_id") -> DataFrame:
-    """(left_id, right_id) of rows that are the same vacancy under a longer or shorter
-    employer name. Slug pairs are found on distinct slugs; ids join them afterwards."""
-    pairs = _stem_pairs(left, right)
-    a = left.select(F.col(left_id).alias("left_id"), "title_slug", F.col("company_slug").alias("left_slug"))
-    b = right.select(F.col(right_id).alias("right_id"), "title_slug", F.col("company_slug").alias("right_slug"))
-    return (a.join(pairs, ["title_slug", "left_slug"]).join(b, ["title_slug", "right_slug"])
-            .select("left_id", "right_id"))
+def same_role_join(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The columns of left and `same_role`, the number of rows of right that are the same vacancy
+    under a longer or shorter employer name. Employers are paired as distinct slugs; pairs of rows,
+    which a title that two long lists share has without bound, are never written out."""
+    sizes = right.groupBy("title_slug", F.col("company_slug").alias("right_slug")).agg(F.count(F.lit(1)).alias("_m"))
+    found = (_stem_pairs(left, right).join(sizes, ["title_slug", "right_slug"])
+             .groupBy("title_slug", F.col("left_slug").alias("company_slug")).agg(F.sum("_m").alias("_n")))
+    return left.join(found, ["title_slug", "company_slug"], "left").select(left["*"], F.coalesce("_n", F.lit(0)).alias("same_role"))
 
 
 def drop_covered(prospects: DataFrame, qualified: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from .. import fixed_values as fv
 from ..functions.dates import posted_timestamp
 from ..functions.text import (bare_host, html_to_text, mentions, no, records, strip_space, truncated,
                               unescape_entities, url_host, url_path, url_scheme)
+from .skew import spread_blank
 
 _BLANK = F.lit
 
@@ -176,7 +177,7 @@ def fill_contacts(leads: DataFrame, contacts: DataFrame) -> DataFrame:
     table = contacts.select(F.col("site").alias("_site"), F.get("emails", F.lit(0)).alias("_e"),
                             F.get("people", F.lit(0)).alias("_p"))
     both = (F.col("public_email") != "") & (F.col("best_contact_name") != "")
-    joined = leads.withColumn("_site", F.when(~both, site)).join(table, "_site", "left")
+    joined = leads.withColumn("_site", spread_blank(F.when(~both, site), "seq")).join(table, "_site", "left")
     person = F.split("_p", " — ", 2)
     named = (F.col("best_contact_name") == "") & F.col("_p").isNotNull()
     return (joined.withColumn("contact_role", F.when(named, F.trim(person[1])).otherwise(F.col("contact_role")))

@@ -10,6 +10,7 @@ from ..functions.geo import country_of_location, is_worldwide
 from ..functions.text import (has_any, has_any_word, mentions, no, normalise, quoted, terms, unnegated_text,
                               words_in)
 from ..profile import SearchProfile
+from .skew import spread_blank
 
 
 def gate(passed: Column, reason: Column, category) -> Column:
@@ -59,7 +60,7 @@ def profile_slug(c: Column) -> Column:
 
 def add_headcount(df: DataFrame, sizes: DataFrame) -> DataFrame:
     """Left join to a table of head-counts (company_key, headcount) by profile slug."""
-    keyed = df.withColumn("_key", profile_slug(F.col("company_linkedin")))
+    keyed = df.withColumn("_key", spread_blank(profile_slug(F.col("company_linkedin")), "posting_id"))
     table = sizes.select(F.col("company_key").alias("_key"), "headcount")
     return keyed.join(table, "_key", "left").drop("_key")
 
@@ -149,21 +150,22 @@ def drop_closed(leads: DataFrame, crawl: DataFrame) -> DataFrame:
         F.col("url").alias("_url"), "status", closed_phrase(F.col("body")).alias("_phrase"))
     link = F.when(F.coalesce(F.col("application_url"), F.lit("")) != "", F.col("application_url")) \
         .otherwise(F.col("original_job_url"))
-    joined = leads.withColumn("_url", link).join(pages, "_url", "left")
+    joined = leads.withColumn("_link", link).withColumn("_url", spread_blank(F.col("_link"), "_link" if "posting_id" not in leads.columns else "posting_id")).join(pages, "_url", "left")
     gone = F.col("status").isin(404, 410)
-    unread = (F.col("_url") != "") & (F.col("status").isNull() | ~F.col("status").isin(200, 404, 410))
+    unread = (F.col("_link") != "") & (F.col("status").isNull() | ~F.col("status").isin(200, 404, 410))
     phrase = F.when(F.col("status") == 200, F.col("_phrase"))
     note = F.array(F.lit("Could not re-check the advert — verify it is still open"))
     out = joined.withColumn("closed", F.coalesce(gone, no()) | phrase.isNotNull())
     out = out.withColumn("closed_reason", F.when(gone, F.concat(F.lit("Advert returns HTTP "), F.col("status")))
                          .when(phrase.isNotNull(), F.concat(F.lit('Advert says "'), phrase, F.lit('"'))).otherwise(""))
     return (out.withColumn("concerns", F.when(unread, F.concat("concerns", note)).otherwise(F.col("concerns")))
-            .drop("_url", "status", "_phrase"))
+            .drop("_url", "_link", "status", "_phrase"))
 
 
 def clear_dead_links(leads: DataFrame, crawl: DataFrame) -> DataFrame:
     """Blank guessed careers pages whose crawl did not answer 200; each URL is one row."""
-    alive = latest_crawl(crawl).where("status = 200").select(F.col("url").alias("careers_page"), F.lit(True).alias("_ok"))
-    joined = leads.join(alive, "careers_page", "left")
+    alive = latest_crawl(crawl).where("status = 200").select(F.col("url").alias("_page"), F.lit(True).alias("_ok"))
+    by = next((c for c in ("posting_id", "seq") if c in leads.columns), leads.columns[0])
+    joined = leads.withColumn("_page", spread_blank(F.col("careers_page"), by)).join(alive, "_page", "left")
     dead = F.col("careers_page_guessed") & (F.col("careers_page") != "") & F.col("_ok").isNull()
-    return joined.withColumn("careers_page", F.when(dead, "").otherwise(F.col("careers_page"))).drop("_ok")
+    return joined.withColumn("careers_page", F.when(dead, "").otherwise(F.col("careers_page"))).drop("_ok", "_page")

@@ -19,14 +19,25 @@ def salted_lookup(big: DataFrame, small: DataFrame, keys: list[str], spread: str
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def spread_blank(key: Column, by: str, salts: int = 4096) -> Column:
+    """The key for a left join in which many rows have none: a null or blank key becomes one of many
+    that match nothing, so that such rows are dealt over all tasks."""
+    stand_in = F.concat(F.lit("\x00"), F.pmod(F.xxhash64(by), F.lit(salts)).cast("string"))
+    return F.coalesce(F.nullif(key, F.lit("")), stand_in)
+
+
 def running_total(df: DataFrame, value: Column, order: str, out: str, chunk: int = 1 << 16) -> DataFrame:
     """Sum of `value` over all rows strictly before this one in `order` (a dense-ish
-    integer). Chunks are summed in parallel, chunk totals are accumulated (one row per
-    chunk), then each chunk runs its own short window."""
+    integer). Chunks are summed in parallel, then blocks of `chunk` chunks; only block totals (a
+    row for 2^32 numbers) are accumulated in one place, then each level runs its own short window."""
     df = df.select("*", F.floor(F.col(order) / chunk).alias("_chunk"), value.cast("double").alias("_v"))
     totals = df.groupBy("_chunk").agg(F.sum("_v").alias("_t"))
-    before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select("_chunk", F.coalesce(F.sum("_t").over(before), F.lit(0.0)).alias("_base"))
+    totals = totals.withColumn("_block", F.floor(F.col("_chunk") / chunk))
+    past = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = totals.groupBy("_block").agg(F.sum("_t").alias("_b")).select(
+        "_block", F.coalesce(F.sum("_b").over(past(Window.orderBy("_block"))), F.lit(0.0)).alias("_before"))
+    within = F.coalesce(F.sum("_t").over(past(Window.partitionBy("_block").orderBy("_chunk"))), F.lit(0.0))
+    base = totals.withColumn("_w", within).join(blocks, "_block").select("_chunk", (F.col("_before") + F.col("_w")).alias("_base"))
     inside = Window.partitionBy("_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("_in", F.coalesce(F.sum("_v").over(inside), F.lit(0.0)))
     return df.join(base, "_chunk").withColumn(out, F.col("_base") + F.col("_in")).drop("_chunk", "_v", "_in", "_base")

@@ -14,7 +14,7 @@ from ..operators.state import label_prospects, upsert_seen
 from ..operators.verdicts import apply_eligibility, apply_fit, long_shots
 from ..operators.worklist import rank_leads
 from ..profile import SearchProfile
-from ..session import cut_lineage
+from ..session import written
 from .screen import screen
 
 
@@ -36,8 +36,8 @@ def run(postings: DataFrame, prof: SearchProfile, run_ts: Column, seen: DataFram
     verdicts and published contacts, label against the registry. The screened table feeds
     four outputs and the merged ones feed several more, so those are the two places where a
     result is written and its lineage cut."""
-    keep = cut_lineage if materialise else (lambda df: df)
-    screened = keep(screen(postings, prof, run_ts, sizes))
+    keep = (lambda df, by=None: written(df, "run", by)) if materialise else (lambda df, by=None: df)
+    screened = keep(screen(postings, prof, run_ts, sizes), "route")  # each route reads its own part
     route = lambda name: screened.where(F.col("route") == name)
     merged_q = keep(dedupe.deduplicate(route("qualified"), run_ts, prof.timezone, materialise))
     merged_p = keep(dedupe.deduplicate(route("prospect"), run_ts, prof.timezone, materialise))

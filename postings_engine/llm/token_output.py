@@ -7,7 +7,7 @@ A row carries the number of its part, its first token's place in that part and i
 whole corpus is that plus the totals of the parts before it.
 
 Defined cases. A null text is empty: its run is the end id alone. Rows with equal doc_id stand in
-order of their text; rows with a null doc_id stand first. An empty table gives no rows. Only doc_id
+order of a hash of their text; rows with a null doc_id stand first. An empty table gives no rows. Only doc_id
 and text are written."""
 
 from __future__ import annotations
@@ -43,7 +43,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, pa
                 yield pa.RecordBatch.from_arrays([rows.column(0).slice(lo, n), rows.column(2).slice(lo, n), pa.array(place + np.arange(n)), pa.array(first + at[:-1]), pa.array(np.diff(at), pa.int32()), runs], names=FORMAT.names)
                 place, first = place + n, first + int(at[-1])
 
-    keys = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
+    # a digest stands for the text, as samples of the keys go to the driver
+    keys = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
     rows = docs.select("doc_id", "text")
     ranged = rows.repartitionByRange(parts, *keys) if parts else rows.repartitionByRange(*keys)
     ordered = ranged.sortWithinPartitions(*keys).withColumn("part", F.spark_partition_id())

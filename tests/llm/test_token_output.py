@@ -3,6 +3,7 @@ import struct
 import zlib
 
 import numpy as np
+import xxhash
 
 from postings_engine.llm.common import Scratch
 from postings_engine.llm import pretokens
@@ -13,7 +14,10 @@ from postings_engine.llm.token_output import read_tokens, token_output, write_to
 def expected(rows):
     from tokenizers import Tokenizer
     own, out, start = Tokenizer.from_file(tokenizer_path()), [], 0
-    for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode())):
+    def place(row):
+        hashed = xxhash.xxh64_intdigest((row[1] or "").encode(), 42) if row[1] is not None else 42
+        return row[0] is not None, row[0] or 0, hashed - (hashed >> 63 << 64)
+    for doc_id, text in sorted(rows, key=place):
         ids = [*own.encode(text or "", add_special_tokens=False).ids, 0]
         out.append((doc_id, start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
         start += len(ids)

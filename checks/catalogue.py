@@ -125,12 +125,6 @@ def _(spark, sf):
     return text.excerpt(base(spark, sf), "description", 400).select("posting_id", "excerpt")
 
 
-@query("txt_9_advert_brief")
-def _(spark, sf):
-    leads = text.advert_brief(all_leads(spark, sf))
-    return leads.select("posting_id", "brief")
-
-
 # ===================================================================== dates and pay
 
 _SHAPES = {
@@ -300,6 +294,19 @@ def all_leads(spark, sf):
 _LEADS = [S.P, S.N, S.elig_ctes("n"), f"""v AS (SELECT * EXCLUDE (remote_status), CASE WHEN el_category = 'not_remote' THEN {S.ARR_LABEL} ELSE remote_status END AS remote_status FROM el)""", S.lead_ctes("v")]
 
 
+_NL = "chr(10)"
+_BRIEF = f"""concat_ws({_NL}, 'Title: ' || trim(title), 'Company: ' || {S.NAME}, 'Location as published: ' || CASE WHEN trim(location_raw) <> '' THEN trim(location_raw) ELSE 'Remote' END,
+  CASE WHEN employment_type NOT IN ('', 'Unknown') THEN 'Employment type: ' || employment_type END, CASE WHEN company_size NOT IN ('', 'Unknown') THEN 'Company size: ' || company_size END,
+  CASE WHEN applicants <> '' THEN 'Applicants so far: ' || applicants END, 'Posted: ' || CASE WHEN age IS NULL THEN 'Date not published' WHEN age <= 0 THEN 'Today' WHEN age = 1 THEN 'Yesterday' ELSE age || ' days ago' END,
+  CASE WHEN {S.HAS_PAY} THEN 'Compensation: published in the advert' ELSE 'Compensation: not published' END) || {_NL} || {_NL} || 'Advert text:' || {_NL} || {_stripped}"""
+
+
+@query("txt_9_advert_brief", S.select(f"SELECT posting_id, {_BRIEF} AS brief FROM sc", *_LEADS))
+def _(spark, sf):
+    leads = text.advert_brief(all_leads(spark, sf))
+    return leads.select("posting_id", "brief")
+
+
 @query("flt_10_score_gate", S.select(f"SELECT posting_id, match_score >= {fv.MIN_QUALIFY_SCORE} AS passed FROM sc", *_LEADS))
 def _(spark, sf):
     return gates.score_gate(all_leads(spark, sf)).select("posting_id", "score_check.passed")
@@ -312,10 +319,16 @@ def screened(spark, sf):
     return screening.screen(base(spark, sf), PROFILE, RUN())
 
 
-@query("flt_11_screen", f"WITH {_SCR_SQL} SELECT posting_id, category, match_score, remote_status, company_size FROM scr WHERE category IN ('', 'low_pay', 'low_score')")
+_ALL_SQL = f"""WITH {_SCR_SQL}, rr AS (SELECT *, posted_at IS NULL OR posted_at >= (CAST({S.LOCAL(S.RUN)} - {PROFILE.freshness_days - 1} AS TIMESTAMP) AT TIME ZONE '{PROFILE.timezone}' AT TIME ZONE 'UTC') AS fresh FROM rel WHERE title <> '' AND url <> ''),
+o AS (SELECT rr.posting_id, CASE WHEN rr.gate <> 0 THEN 'irrelevant' WHEN NOT rr.fresh THEN 'stale' ELSE scr.category END AS category, scr.match_score, scr.remote_status, scr.company_size, scr.prospect_worthy FROM rr LEFT JOIN scr USING (posting_id)),
+x AS (SELECT *, CASE category WHEN '' THEN 'qualified' WHEN 'irrelevant' THEN 'dropped' ELSE 'rejected' END AS route, category IN ('', 'low_pay', 'low_score') AS whole FROM o
+  UNION ALL SELECT *, 'prospect', true FROM o WHERE category = 'ineligible' AND prospect_worthy)"""
+
+
+@query("flt_11_screen", _ALL_SQL + " SELECT posting_id, category, route, CASE WHEN whole THEN match_score END AS match_score, CASE WHEN whole THEN remote_status END AS remote_status, CASE WHEN whole THEN company_size END AS company_size FROM x")
 def _(spark, sf):
-    df = screened(spark, sf).where("route <> 'prospect' and category in ('', 'low_pay', 'low_score')")
-    return df.select("posting_id", "category", "match_score", "remote_status", "company_size")
+    """Every posting on every route; early rejections keep only what identifies them."""
+    return screened(spark, sf).select("posting_id", "category", "route", "match_score", "remote_status", "company_size")
 
 
 @query("flt_12_keep_prospects", S.select(f"""SELECT posting_id FROM sc WHERE NOT passed AND prospect_worthy AND (CASE WHEN ground IN (2, 7, 9) THEN {S.any_word('n_title', PROFILE.core_terms)} OR match_score >= {fv.PROSPECT_UNVERIFIED_MIN_SCORE}

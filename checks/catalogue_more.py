@@ -12,7 +12,7 @@ from postings_engine.sinks import reports
 from postings_engine.sources import feeds, json_feeds, pages as page_src, rss
 
 from . import sql as S
-from .catalogue import (ORACLE, PROFILE, QUERIES, RUN, all_leads, base, listed, matched, query, screened, stamp,
+from .catalogue import (_ALL_SQL, ORACLE, PROFILE, QUERIES, RUN, all_leads, base, listed, matched, query, screened, stamp,
                         stamp_sql)
 from .projection import postings, read, with_run_ts
 
@@ -262,13 +262,11 @@ def _(spark, sf):
 
 # ================================================================ roll-ups, ranking
 
-@query("agg_1_funnel", f"""WITH {S.screen_ctes()}, rr AS (SELECT *, posted_at IS NULL OR posted_at >= (CAST({S.LOCAL(S.RUN)} - 29 AS TIMESTAMP) AT TIME ZONE 'Europe/London' AT TIME ZONE 'UTC') AS fresh FROM rel WHERE title <> '' AND url <> '')
-  SELECT 'irrelevant' AS stage, CAST(count(*) AS BIGINT) AS n FROM rr WHERE gate <> 0 UNION ALL SELECT 'undated_kept', CAST(count(*) AS BIGINT) FROM rr WHERE gate = 0 AND posted_at IS NULL
-  UNION ALL SELECT 'stale', CAST(count(*) AS BIGINT) FROM rr WHERE gate = 0 AND NOT fresh UNION ALL SELECT x.c, CAST(count(scr.posting_id) AS BIGINT) FROM (VALUES ('low_rate_market'), ('ineligible'), ('low_pay'), ('low_score'), ('passed')) x(c)
-  LEFT JOIN scr ON CASE WHEN scr.category = '' THEN 'passed' ELSE scr.category END = x.c GROUP BY x.c""")
+@query("agg_1_funnel", _ALL_SQL + f""" SELECT 'screened' AS stage, count(*) AS n FROM o UNION ALL SELECT 'passed', count(*) FROM o WHERE category = ''
+  UNION ALL SELECT 'undated_kept', count(*) FROM rr WHERE gate = 0 AND posted_at IS NULL
+  UNION ALL SELECT v.c, count(o.posting_id) FROM (VALUES {', '.join(f"('{c}')" for c in aggregate.FUNNEL_STAGES)}) v(c) LEFT JOIN o ON o.category = v.c GROUP BY v.c""")
 def _(spark, sf):
-    wanted = ("irrelevant", "undated_kept", "stale", "low_rate_market", "ineligible", "low_pay", "low_score", "passed")
-    return aggregate.funnel(screened(spark, sf)).where(F.col("stage").isin(*wanted))
+    return aggregate.funnel(screened(spark, sf))
 
 
 _LEADS = [S.P, S.N, S.elig_ctes("n"), f"v AS (SELECT * EXCLUDE (remote_status), CASE WHEN el_category = 'not_remote' THEN {S.ARR_LABEL} ELSE remote_status END AS remote_status FROM el)", S.lead_ctes("v")]

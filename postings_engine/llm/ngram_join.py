@@ -98,15 +98,16 @@ def segment_keys(values: np.ndarray, at: np.ndarray, classes: SizeClasses) -> tu
     return np.concatenate(keys), np.concatenate(rows)
 
 
-def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, d1, d2, mark): size of each row's set, two digests and a bitmap of it."""
+def shingle_sets(docs: DataFrame, width: int, wider: int = 0) -> DataFrame:
+    """(doc_id, n, d1, d2, mark): size of each row's set, two digests and a bitmap of it, doubled
+    `wider` times."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for lo, hi, data, offsets in text_pieces(rows.column(1)):
                 hashes, _, _, per_row = words(data, offsets)
                 values, at = shingles(hashes, per_row, width)
                 d1, d2 = digests(values, at)
-                yield batch(SETS, rows.column(0).slice(lo, hi - lo), np.diff(at), d1.view(np.int64), d2.view(np.int64), marks(values, at))
+                yield batch(SETS, rows.column(0).slice(lo, hi - lo), np.diff(at), d1.view(np.int64), d2.view(np.int64), marks(values, at, wider))
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, mark binary")
 
 
@@ -153,7 +154,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
     """docs(doc_id, text) -> (doc_id, n_shingles, component_id), a row per row. Two documents link
     when den * overlap >= num * union of their sets of `width`-word shingles (0.5 < num/den < 1)."""
     scratch = Scratch(docs.sparkSession, "ngram-join")
-    sets = scratch.save(shingle_sets(docs, width), "sets")
+    # half of a bitmap's bits differ between unlike sets; linked ones may differ in this share of members
+    wider = 1 if 10 * (den - num) > den + num else 0
+    sets = scratch.save(shingle_sets(docs, width, wider), "sets")
     nodes = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(
         F.min("doc_id").alias("id"), F.max("doc_id").alias("most"), F.min("n").alias("n"), F.min("mark").alias("mark"))
     nodes = scratch.save(nodes, "nodes")
@@ -169,7 +172,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
     grouped = nodes.join(reached, "id", "left").where("component IS NOT NULL OR id < most").select(
         "d1", "d2", F.coalesce("component", "id").alias("component"))
     return sets.join(grouped, ["d1", "d2"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each_group(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:

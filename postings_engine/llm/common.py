@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -22,10 +23,15 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         folder = tempfile.mkdtemp(prefix="spark-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", folder)
+        spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of few rows, as rows here hold whole texts or arrays: bounds what a batch takes."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 class Scratch:
     """Tables of one run of an operator, written to a new folder of the shared folder. A written
     table cuts the lineage: if an executor is lost, what follows starts again from the files."""
@@ -33,6 +39,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.path = spark, f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0
+        small_batches(spark)
 
     def new_path(self, name: str) -> str:
         self._n += 1

@@ -28,8 +28,8 @@ LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 #: Hashes in one side of a tile: 3 MB. A smaller set counts as LEAST hashes, which bounds the sets.
 TILE = 400_000
 LEAST = 150
-#: Nodes of one key that are compared with each other.
-HELD = 256
+#: Nodes of one key that are compared with each other, and how many of them one by one.
+HELD, FEW = 20_000, 24
 
 
 def shared_keys(entries: DataFrame, held: int = HELD) -> DataFrame:
@@ -71,11 +71,12 @@ def shared_keys(entries: DataFrame, held: int = HELD) -> DataFrame:
     return ordered.mapInArrow(stream, "key long, node long, star long")
 
 
-def marks(values: np.ndarray, at: np.ndarray) -> list[bytes]:
-    """A parity bitmap of each row's set, of 64 bits or at least half as many as the set has members."""
+def marks(values: np.ndarray, at: np.ndarray, wider: int = 0) -> list[bytes]:
+    """A parity bitmap of each row's set, of 64 bits or at least half as many as the set has members,
+    doubled `wider` times."""
     n = np.diff(at)
     out: list[bytes] = [b""] * len(n)
-    bits = np.maximum(64, 1 << np.maximum(np.frexp(n.astype(float))[1] - 1, 0))
+    bits = np.maximum(64, 1 << np.maximum(np.frexp(n.astype(float))[1] - 1, 0)) << wider
     for width in np.unique(bits):
         rows = np.flatnonzero(bits == width)
         start = np.cumsum(n[rows]) - n[rows]
@@ -95,12 +96,38 @@ def _folded(mark: int, bits: int, to: int) -> int:
     return mark
 
 
+def _wide_forest(nodes: list[int], sizes: list[int], maps: list[int], bits: int, num: int, den: int) -> Iterator[tuple[int, int]]:
+    """The same for many nodes: by rising size, each against all later ones of a fitting size that it
+    is not yet connected with, at once."""
+    n = np.array(sizes)
+    order = np.argsort(n, kind="stable")
+    n, ids = n[order], np.array(nodes)[order]
+    words = np.frombuffer(b"".join(maps[i].to_bytes(bits // 8, "little") for i in order), np.uint64).reshape(len(n), -1)
+    root = np.arange(len(n))
+    ends = np.searchsorted(n, n * den // num, side="right")
+    for i in range(len(n)):
+        other = np.flatnonzero(root[i + 1: ends[i]] != root[i]) + i + 1
+        if not len(other):
+            continue
+        both = n[i] + n[other]
+        bound = np.minimum((both - np.bitwise_count(words[i] ^ words[other]).sum(axis=1, dtype=np.int64)) // 2, n[i])
+        near = other[den * bound >= num * (both - bound)]
+        if len(near):
+            joined, first = np.unique(root[near], return_index=True)
+            for j in near[first]:
+                yield int(ids[j]), int(ids[i])
+            root[np.isin(root, joined)] = root[i]
+
+
 def likely_links(shared: DataFrame, signatures: DataFrame, num: int, den: int) -> DataFrame:
     """shared(key, node, star), signatures(node, n, mark) -> distinct links (a, b): a forest, under
     each key, of the pairs whose bitmaps allow den * overlap >= num * union; and the stars."""
     def forest(nodes, sizes, raw):
         bits = min(len(m) for m in raw) * 8
         maps = [_folded(int.from_bytes(m, "little"), len(m) * 8, bits) for m in raw]
+        if len(nodes) > FEW:
+            yield from _wide_forest(nodes, sizes, maps, bits, num, den)
+            return
         root = list(range(len(nodes)))
         for i in range(len(nodes)):
             for j in range(i + 1, len(nodes)):

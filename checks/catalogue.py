@@ -89,6 +89,20 @@ def _(spark, sf):
     return text.match_terms(matched(spark, sf), VOCAB)
 
 
+_PIECES = [("rician", "end"), ("&", "sign"), ("c", "letter"), ("ab", "pair"), ("remote-f", "run"), ("no such thing", "none")]
+_piece_sql = " UNION ALL ".join(f"SELECT posting_id, {S.q(t)} AS term, {S.q(k)} AS kind, contains(n_title, {S.q(t)}) AS in_title, contains(n_body, {S.q(t)}) AS in_body, CAST((length(n_body) - length(replace(n_body, {S.q(t)}, ''))) // {len(t)} AS BIGINT) AS n FROM n WHERE contains(n_title, {S.q(t)}) OR contains(n_body, {S.q(t)})" for t, k in _PIECES)
+
+
+@query("txt_4_match_pieces", S.select(_piece_sql, S.P, S.N))
+def _(spark, sf):
+    return text.match_terms(matched(spark, sf), _PIECES, "substring")
+
+
+@query("txt_4_match_pieces_large", S.select(_piece_sql, S.P, S.N))
+def _(spark, sf):
+    return text.match_terms(matched(spark, sf), spark.createDataFrame(_PIECES, "term string, kind string"), "substring")
+
+
 @query("txt_4_match_terms_large", _term_sql)
 def _(spark, sf):
     return text.match_terms(matched(spark, sf), spark.createDataFrame(VOCAB, "term string, kind string"))

@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 MOST_MEAN = 16.0
 #: Terms of a table of cumulative probabilities; the tail beyond is below 1e-20 at MOST_MEAN.
 TERMS = 72
@@ -73,5 +75,7 @@ def poisson_copies(docs: DataFrame, rates: DataFrame, seed: int = 0) -> DataFram
 def mix_sources(docs: DataFrame, weights: DataFrame | None = None, temperature: float = 0.5, seed: int = 0) -> DataFrame:
     """Replicates docs to the target weights and shuffles globally: partitions hold ranges of
     shuffle_key, rows stand in its order."""
-    copies = poisson_copies(docs, source_rates(docs, weights, temperature), seed)
+    # a row for each source, written so that its size is known when the join with docs is planned
+    rates = Scratch(docs.sparkSession, "mixing").save(source_rates(docs, weights, temperature), "rates")
+    copies = poisson_copies(docs, rates, seed)
     return copies.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key")

@@ -3,7 +3,7 @@
 1. `shared_keys`: rows (key, node), streamed by key; rows whose key has other nodes stay.
 2. `likely_links`: under each key, the bit counts of bitmap signatures bound the overlap of two
    sets from above; pairs that may still link are joined to a forest. Its components, the clusters,
-   hold every link.
+   hold every link. A key of more nodes than a task may hold is compared block with block.
 3. `tiles`: clusters are cut into tiles of bounded weight, by size band.
 4. `verify`: within a tile, wider bitmaps prune again, what is left is intersected exactly, and a
    spanning forest of the links comes out.
@@ -28,19 +28,20 @@ LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 #: Hashes in one side of a tile: 3 MB. A smaller set counts as LEAST hashes, which bounds the sets.
 TILE = 400_000
 LEAST = 150
-#: Nodes of one key that are compared with each other, and how many of them one by one.
+#: Nodes that are held at once to be compared with each other, and how many of them one by one.
 HELD, FEW = 20_000, 24
 
 
 def shared_keys(entries: DataFrame, held: int = HELD) -> DataFrame:
-    """(key, node) long -> (key, node, star): the rows whose key has at least two nodes, each once.
-    star is null for the first `held` nodes of a key; a later one has the key's smallest node there,
-    and is linked with it unseen, so that no key's group has to be held."""
-    kept = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("star", pa.int64())])
+    """(key, node) long -> (key, node, block): the rows whose key has at least two nodes, each once.
+    A key's nodes are numbered into blocks of half of `held`, so that no key's group has to be held
+    and any two blocks can be."""
+    kept = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("block", pa.int64())])
+    size = max(1, held // 2)
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # what is open at a batch's end: the last key, its first and last node, its number of nodes
-        open_key = open_first = open_last = None
+        # what is open at a batch's end: the last key, its last node, its number of nodes
+        open_key = open_last = None
         open_rank = 0
         for rows in batches:
             if not rows.num_rows:
@@ -58,17 +59,15 @@ def shared_keys(entries: DataFrame, held: int = HELD) -> DataFrame:
             at = np.arange(len(key))
             start = np.maximum.accumulate(np.where(same, -1, at))
             rank = np.where(start < 0, at + open_rank, at - start)
-            first = np.where(start < 0, open_first if open_first is not None else 0, node[start])
             grouped = same.copy()
             grouped[:-1] |= same[1:]
-            out = [key[grouped], node[grouped], pa.array(first[grouped], mask=rank[grouped] < held)]
-            if same[0] and open_rank == 1:  # the open key's first node had no other one yet
-                yield pa.RecordBatch.from_arrays([pa.array([open_key]), pa.array([open_first]), pa.array([None], pa.int64())], schema=kept)
-            open_key, open_last, open_first, open_rank = key[-1], node[-1], first[-1], int(rank[-1]) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in out], schema=kept)
+            if same[0] and open_rank == 1:  # the open key's only node so far had no other one yet
+                yield pa.RecordBatch.from_arrays([pa.array([open_key]), pa.array([open_last]), pa.array([0], pa.int64())], schema=kept)
+            open_key, open_last, open_rank = key[-1], node[-1], int(rank[-1]) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(x[grouped]) for x in (key, node, rank // size)], schema=kept)
 
     ordered = entries.select("key", "node").repartition("key").sortWithinPartitions("key", "node")
-    return ordered.mapInArrow(stream, "key long, node long, star long")
+    return ordered.mapInArrow(stream, "key long, node long, block long")
 
 
 def marks(values: np.ndarray, at: np.ndarray, wider: int = 0) -> list[bytes]:
@@ -120,8 +119,9 @@ def _wide_forest(nodes: list[int], sizes: list[int], maps: list[int], bits: int,
 
 
 def likely_links(shared: DataFrame, signatures: DataFrame, num: int, den: int) -> DataFrame:
-    """shared(key, node, star), signatures(node, n, mark) -> distinct links (a, b): a forest, under
-    each key, of the pairs whose bitmaps allow den * overlap >= num * union; and the stars."""
+    """shared(key, node, block), signatures(node, n, mark) -> distinct links (a, b): a forest, under
+    each key, of the pairs whose bitmaps allow den * overlap >= num * union. Of a key with more than
+    two blocks, every two blocks are a group of their own."""
     def forest(nodes, sizes, raw):
         bits = min(len(m) for m in raw) * 8
         maps = [_folded(int.from_bytes(m, "little"), len(m) * 8, bits) for m in raw]
@@ -155,9 +155,14 @@ def likely_links(shared: DataFrame, signatures: DataFrame, num: int, den: int) -
             found = list(forest(*group))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], schema=LINKS)
 
-    known = shared.where("star IS NULL").join(signatures, "node").select("key", "node", "n", "mark")
-    tested = known.repartition("key").sortWithinPartitions("key").mapInArrow(stream, "a long, b long")
-    return tested.unionByName(shared.where("star IS NOT NULL").select(F.col("node").alias("a"), F.col("star").alias("b"))).distinct()
+    known = shared.join(signatures, "node").select("key", "node", "block", "n", "mark")
+    # keys of more than two blocks: at most one for each HELD rows of shared
+    large = shared.where("block > 1").groupBy("key").agg(F.max("block").alias("last"))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), "last"), lambda o: o != F.col("block"))
+    groups = F.transform(others, lambda o: F.xxhash64("key", F.least("block", o), F.greatest("block", o)))
+    known = known.join(F.broadcast(large), "key", "left").withColumn("group", F.explode(F.when(F.col("last").isNull(), F.array("key")).otherwise(groups)))
+    ordered = known.select("group", "node", "n", "mark").repartition("group").sortWithinPartitions("group")
+    return ordered.mapInArrow(stream, "a long, b long").distinct()
 
 
 def tiles(members: DataFrame, threshold: float, scratch: Scratch, tile: int = TILE) -> DataFrame:

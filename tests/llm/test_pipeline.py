@@ -1,3 +1,7 @@
+import collections
+import hashlib
+import math
+
 import corpus_pipeline
 from postings_engine.llm import language_id
 from postings_engine.llm.queries import labelled_documents, tokenizer_path
@@ -70,3 +74,32 @@ def test_odd_and_empty_tables(spark, sf, odd_documents):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf)
         assert docs.count() == 0
+
+
+def copies_of(rows):
+    """{(doc_id, text): copies} of rows(doc_id, text, source), drawn at the rates of the square root of sizes."""
+    size = collections.Counter()
+    for r in rows:
+        size[r.source] += max(1, len((r.text or "").encode()))
+    weight = {s: math.sqrt(n) for s, n in size.items()}
+    want = collections.Counter()
+    for r in rows:
+        rate = weight[r.source] / sum(weight.values()) * sum(size.values()) / size[r.source]
+        parts = max(1, math.ceil(rate / 16))
+        for j in range(1, parts + 1):
+            draw = int(hashlib.md5(f"0|{r.doc_id}|{j}".encode()).hexdigest()[:8], 16) / 2**32
+            term = total = math.exp(-rate / parts)
+            k = 0
+            while total <= draw:
+                k += 1
+                term *= rate / parts / k
+                total += term
+            want[r.doc_id, r.text] += k
+    return +want
+
+
+def test_mixing_stage_makes_each_copy(spark, sf, documents):
+    mixed = dict(corpus_pipeline.STAGES)["mixing sources"](spark, documents, sf)
+    want = copies_of(documents.collect())
+    assert collections.Counter((r.doc_id, r.text) for r in mixed.collect()) == want
+    assert max(want.values()) > 1 and len(want) < documents.count()

@@ -67,5 +67,36 @@ f AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN f USING (doc_id)"""
 
+
+
+def _merkle(levels: int = 13, top_levels: int = 6) -> str:
+    """Trees of at most 3 ** levels leaves a source and 3 ** top_levels sources, one level after another."""
+    def f(c):
+        return f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+
+    def leaf(text):
+        return f"sha256({f('doc_id')} || {f('source')} || {f('lang')} || {f('n_chars')} || {f(text)})"
+    parts = [f"""c AS (SELECT list_transform(range(256), lambda n: list_reduce([n] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (SELECT documents.*, xor(list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS crc FROM documents, c),
+b AS (SELECT doc_id, source AS g, {leaf('text')} AS leaf, {leaf("CASE WHEN crc % 2 = 0 THEN replace(text, chr(10), '') ELSE text END")} AS found FROM d),
+w0 AS MATERIALIZED (SELECT doc_id, g, leaf, found AS acc, '' AS proof, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM b),
+n0 AS (SELECT g, i, leaf AS h FROM w0)"""]
+
+    def climb(k, w, n, kept):
+        join = f"{w}{k} w JOIN r{n}{k} r ON w.g IS NOT DISTINCT FROM r.g AND w.i // 3 = r.p"
+        left, right = "array_to_string(hs[1:w.i % 3], '')", "array_to_string(hs[w.i % 3 + 2:], '')"
+        return [f"""r{n}{k} AS MATERIALIZED (SELECT g, i // 3 AS p, list(h ORDER BY i) AS hs, any_value(m) AS m FROM (SELECT *, count(*) OVER (PARTITION BY g) AS m FROM {n}{k}) GROUP BY ALL)""",
+                f"""{n}{k + 1} AS (SELECT g, p AS i, CASE WHEN m = 1 THEN hs[1] ELSE sha256(array_to_string(hs, '')) END AS h FROM r{n}{k})""",
+                f"""{w}{k + 1} AS MATERIALIZED (SELECT {kept}, w.g, CASE WHEN m = 1 THEN acc ELSE sha256({left} || acc || {right}) END AS acc, CASE WHEN m = 1 THEN proof ELSE proof || {left} || {right} END AS proof, r.p AS i FROM {join})"""]
+    for k in range(levels):
+        parts += climb(k, "w", "n", "doc_id, leaf")
+    parts.append(f"""s AS (SELECT g AS own, h AS subroot, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS i FROM n{levels}), t0 AS (SELECT 0 AS g, i, subroot AS h FROM s),
+v0 AS MATERIALIZED (SELECT doc_id, leaf, subroot, 0 AS g, acc, proof, s.i FROM w{levels} w JOIN s ON w.g IS NOT DISTINCT FROM s.own)""")
+    for k in range(top_levels):
+        parts += climb(k, "v", "t", "doc_id, leaf, subroot")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT doc_id, leaf, subroot, t.h AS root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = t.h AS verified FROM v{top_levels} v JOIN t{top_levels} t ON v.i = t.i"""
+
+
 ORACLE = {"op1_ngram_join": NGRAM_JOIN, "op5_mix_sources": MIX_SOURCES, "op6_url_filter": URL_FILTER, "op7_warc": WARC,
-          "op8_embedding_dedup": EMBEDDING_DEDUP, "op9_decontaminate": DECONTAMINATE}
+          "op8_embedding_dedup": EMBEDDING_DEDUP, "op9_decontaminate": DECONTAMINATE, "op13_merkle_manifest": _merkle()}

@@ -1,4 +1,4 @@
-"""The ten operators as queries over whole tables, and the SQL they must equal where SQL can say it."""
+"""The thirteen operators as queries over whole tables, and the SQL they must equal where SQL can say it."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from .decontaminate import contamination
 from .embedding_dedup import near_duplicates
 from .language_id import language_id
 from .line_dedup import line_components
+from .merkle import verified_manifest
 from .mixing import mix_sources
 from .ngram_join import jaccard_components
 from .oracle import ORACLE
@@ -100,8 +101,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's proof in a manifest by source, against texts of which a half lost their line ends."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    return verified_manifest(table(spark, sf_dir, "documents"), F.replace(F.col("text"), F.lit("\n"), F.lit("")), tampered)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (
     op1_ngram_join, op2_token_output, op3_line_dedup, op4_sharding, op5_mix_sources, op6_url_filter, op7_warc, op8_embedding_dedup,
-    op9_decontaminate, op10_language_id)}
+    op9_decontaminate, op10_language_id, op13_merkle_manifest)}
 
 __all__ = ["ORACLE", "QUERIES"]

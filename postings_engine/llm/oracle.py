@@ -98,5 +98,23 @@ v0 AS MATERIALIZED (SELECT doc_id, leaf, subroot, 0 AS g, acc, proof, s.i FROM w
 SELECT doc_id, leaf, subroot, t.h AS root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = t.h AS verified FROM v{top_levels} v JOIN t{top_levels} t ON v.i = t.i"""
 
 
+def _centroids(rounds: int = 5) -> str:
+    parts = ["""v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+u AS MATERIALIZED (SELECT r, unnest(x) AS v, unnest(range(64)) AS d FROM v),
+s AS (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), x) - 1 AS c, x FROM v QUALIFY c < 40),
+c0 AS MATERIALIZED (SELECT c, unnest(x) AS v, unnest(range(64)) AS d FROM s)"""]
+    for k in range(rounds + 1):
+        parts.append(f"""m{k} AS MATERIALIZED (SELECT r, min(q) % 64 AS c, min(q) // 64 AS distance
+  FROM (SELECT r, c, CAST(sum((u.v - c.v) * (u.v - c.v)) AS BIGINT) * 64 + c AS q FROM u JOIN c{k} c USING (d) GROUP BY r, c) GROUP BY r)""")
+        if k < rounds:
+            parts.append(f"""c{k + 1} AS MATERIALIZED (SELECT c, d, coalesce(CAST((t - (t % n + n) % n) // n AS BIGINT), v) AS v
+  FROM c{k} LEFT JOIN (SELECT c, d, sum(v) AS t, count(*) AS n FROM u JOIN m{k} USING (r) GROUP BY c, d) USING (c, d))""")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM m{rounds} JOIN v USING (r) JOIN (SELECT c, sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY d)) AS centroid_sha256 FROM c{rounds} GROUP BY c) USING (c)"""
+
+
 ORACLE = {"op1_ngram_join": NGRAM_JOIN, "op5_mix_sources": MIX_SOURCES, "op6_url_filter": URL_FILTER, "op7_warc": WARC,
-          "op8_embedding_dedup": EMBEDDING_DEDUP, "op9_decontaminate": DECONTAMINATE, "op13_merkle_manifest": _merkle()}
+          "op8_embedding_dedup": EMBEDDING_DEDUP, "op9_decontaminate": DECONTAMINATE, "op11_centroid_clustering": _centroids(),
+          "op13_merkle_manifest": _merkle()}

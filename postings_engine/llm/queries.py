@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .centroids import cluster, with_inertia
 from .common import table
 from .decontaminate import contamination
 from .embedding_dedup import near_duplicates
@@ -101,6 +102,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every vector of 64 components, after five rounds from 40 centroids."""
+    rows, centroids = cluster(table(spark, sf_dir, "embeddings"), k=40, dims=64, rounds=5, scale=256.0, seed=2)
+    return with_inertia(spark, rows, centroids)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's proof in a manifest by source, against texts of which a half lost their line ends."""
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
@@ -109,6 +116,6 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (
     op1_ngram_join, op2_token_output, op3_line_dedup, op4_sharding, op5_mix_sources, op6_url_filter, op7_warc, op8_embedding_dedup,
-    op9_decontaminate, op10_language_id, op13_merkle_manifest)}
+    op9_decontaminate, op10_language_id, op11_centroid_clustering, op13_merkle_manifest)}
 
 __all__ = ["ORACLE", "QUERIES"]

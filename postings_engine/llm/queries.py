@@ -18,6 +18,7 @@ from .mixing import mix_sources
 from .ngram_join import jaccard_components
 from .oracle import ORACLE
 from .sharding import shard
+from .skip_chain import personal_data
 from .token_output import token_output
 from .url_filter import judge, rule_list
 from .warc import archive
@@ -108,6 +109,11 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_inertia(spark, rows, centroids)
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The personal data in every document: numbers and digest of the base spans, and all spans."""
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's proof in a manifest by source, against texts of which a half lost their line ends."""
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
@@ -116,6 +122,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (
     op1_ngram_join, op2_token_output, op3_line_dedup, op4_sharding, op5_mix_sources, op6_url_filter, op7_warc, op8_embedding_dedup,
-    op9_decontaminate, op10_language_id, op11_centroid_clustering, op13_merkle_manifest)}
+    op9_decontaminate, op10_language_id, op11_centroid_clustering, op12_personal_data,
+    op13_merkle_manifest)}
 
 __all__ = ["ORACLE", "QUERIES"]

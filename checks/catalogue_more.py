@@ -53,16 +53,20 @@ _PREPARED = [S.P, S.K, _VARIANT, _ALIAS]
 @query("dup_3_merge_duplicates", S.select("""SELECT merge_key AS fingerprint, CAST(count(*) AS BIGINT) AS copies, CAST(min(seq) AS BIGINT) AS first_seq,
   array_to_string(list_sort(list(DISTINCT source)), ' | ') AS sources FROM ua GROUP BY merge_key""", *_PREPARED))
 def _(spark, sf):
-    """Group sizes and sources against SQL; which copy survives, and what it gains, is a fold
-    that the test suite checks against a plain loop."""
+    """Group sizes and sources."""
     df = dedupe.deduplicate(slim_leads(spark, sf), materialise=False)
     return df.select("fingerprint", "copies", "first_seq", listed("sources").alias("sources"))
 
 
-@query("dup_3_merged_rows")
+_ENRICHED = f"""eu AS (SELECT ua.merge_key, ua.seq, en.* EXCLUDE (seq), length(en.description) % 50 + 40 AS match_score, CAST(NULL AS DOUBLE) AS day_rate_min FROM ua JOIN en USING (posting_id))"""
+
+
+@query("dup_3_merged_rows", "WITH RECURSIVE " + ", ".join([*_PREPARED, S.enrich_ctes("p"), _ENRICHED, S.merged_ctes("eu")]) + f""" SELECT merge_key AS fingerprint, posting_id, {', '.join(S.FILLED)},
+  salary_min, salary_max, salary_currency, CAST(copies AS BIGINT) AS copies, CAST({S.AGE} AS INTEGER) AS job_age_days FROM mg""")
 def _(spark, sf):
+    """Which copy survives, and every field that it ends up with."""
     df = dedupe.deduplicate(slim_leads(spark, sf), RUN_OF(spark, sf), PROFILE.timezone)
-    return df.select("fingerprint", "posting_id", "public_email", "company_website", "salary_min", "copies", "job_age_days")
+    return df.select("fingerprint", "posting_id", *dedupe.FILLED, "salary_min", "salary_max", "salary_currency", "copies", "job_age_days")
 
 
 def RUN_OF(spark, sf):
@@ -361,7 +365,11 @@ def _(spark, sf):
     return dedupe.set_aside(leads_of(spark, sf), moved).select("posting_id")
 
 
-@query("flow_1_ranked_leads")
+_FLOW = ["q AS (SELECT * FROM scr WHERE category = '')", S.K.replace("FROM p)", "FROM q)"), _VARIANT, _ALIAS, S.merged_ctes("ua")]
+
+
+@query("flow_1_ranked_leads", f"""WITH RECURSIVE {', '.join([S.screen_ctes(), *_FLOW])} SELECT mg.merge_key AS fingerprint, posting_id, scr.title, {S.NAME} AS company, mg.match_score, cv_fit_score, remote_status,
+  eligibility, CAST(copies AS BIGINT) AS copies FROM mg JOIN scr USING (posting_id)""")
 def _(spark, sf):
     """The flagship: screen, collapse duplicates, rank."""
     qualified = screened(spark, sf).where("route = 'qualified'")

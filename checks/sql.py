@@ -484,3 +484,31 @@ f1 AS (SELECT *, {MARKET} AS bad_market FROM f0 WHERE gate = 0 AND fresh)""", el
   CASE WHEN el_category = 'not_remote' THEN eligibility ELSE eligibility END AS eligibility, passed OR el_category = 'not_remote' AS ok FROM el)""",
         lead_ctes("v"), f"""scr AS (SELECT *, {ANNUAL} AS annual_usd, CASE WHEN bad_market THEN 'low_rate_market' WHEN NOT ok THEN 'ineligible'
   WHEN {ANNUAL} < {PR.salary_floor_usd} THEN 'low_pay' WHEN match_score < {fv.MIN_QUALIFY_SCORE} THEN 'low_score' ELSE '' END AS category FROM sc)"""])
+
+
+# ------------------------------------------------------------------------- duplicates
+
+FILLED = ("public_email", "public_phone", "best_contact_name", "contact_role", "company_website", "careers_page")
+
+
+def merged_ctes(source: str) -> str:
+    """From rows with a merge_key -> `mg`: the row each group ends with, one row folded in after another."""
+    pay = "(coalesce(nullif({0}.salary_min, 0), nullif({0}.salary_max, 0)) IS NOT NULL)"
+    rank = lambda t: (f"[CAST({t}.public_email <> '' AS BIGINT), CAST({t}.company_website <> '' AS BIGINT), CAST(coalesce(nullif({t}.salary_min, 0), nullif({t}.day_rate_min, 0)) IS NOT NULL AS BIGINT), "
+                      f"CAST({t}.application_url <> '' AND NOT contains({t}.application_url, 'remoteok') AS BIGINT), {t}.match_score, length({t}.description)]")
+    win = f"{rank('r')} > {rank('f')}"
+    filled = ", ".join(f"CASE WHEN win THEN coalesce(nullif(r.{c}, ''), f.{c}) ELSE coalesce(nullif(f.{c}, ''), r.{c}) END AS {c}" for c in FILLED)
+
+    def paid(c):
+        return f"CASE WHEN win THEN CASE WHEN {pay.format('r')} OR NOT {pay.format('f')} THEN r.{c} ELSE f.{c} END ELSE CASE WHEN {pay.format('f')} OR NOT {pay.format('r')} THEN f.{c} ELSE r.{c} END END AS {c}"
+    currency = (f"CASE WHEN win THEN CASE WHEN {pay.format('r')} OR NOT {pay.format('f')} THEN r.salary_currency ELSE coalesce(nullif(r.salary_currency, ''), f.salary_currency) END "
+                f"ELSE CASE WHEN {pay.format('f')} OR NOT {pay.format('r')} THEN f.salary_currency ELSE coalesce(nullif(f.salary_currency, ''), r.salary_currency) END END AS salary_currency")
+    kept = ", ".join(f"CASE WHEN win THEN r.{c} ELSE f.{c} END AS {c}" for c in ("posting_id", "day_rate_min", "application_url", "match_score", "description"))
+    names = ["merge_key", "rn", "posting_id", "day_rate_min", "application_url", "match_score", "description", *FILLED, "salary_min", "salary_max", "salary_currency", "posted_at"]
+    return f"""mr AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY merge_key ORDER BY seq) AS rn FROM {source}),
+mf AS (SELECT {', '.join(names)} FROM mr WHERE rn = 1 UNION ALL
+  SELECT r.merge_key, r.rn, {kept}, {filled}, {paid('salary_min')}, {paid('salary_max')}, {currency},
+    CASE WHEN win THEN CASE WHEN r.posted_at IS NOT NULL THEN least(r.posted_at, f.posted_at) END ELSE CASE WHEN f.posted_at IS NOT NULL THEN least(f.posted_at, r.posted_at) END END
+  FROM mf f JOIN mr r ON r.merge_key = f.merge_key AND r.rn = f.rn + 1, LATERAL (SELECT {win} AS win)),
+mc AS (SELECT merge_key, count(*) AS copies, min(seq) AS first_seq FROM mr GROUP BY merge_key),
+mg AS (SELECT mf.*, copies, first_seq FROM mf JOIN mc ON mf.merge_key = mc.merge_key AND mf.rn = mc.copies)"""

@@ -1,7 +1,7 @@
 """Collapsing the same vacancy seen on several feeds.
 
 Keys: a company-variant key, then a URL alias. Merge: an ordered fold of each group. The
-fold is exact, yet no task ever holds a whole group: see `merge_duplicates`.
+fold is exact, yet no task ever holds a whole group: see `merge_plan` and `fold`.
 """
 
 from __future__ import annotations
@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import once
 from ..session import written
+from .fold import fold_groups
 from .skew import salted_lookup
 
 MIN_STEM = 5
@@ -82,7 +82,7 @@ def _slim(df: DataFrame, key: str) -> DataFrame:
     """(merge_key, seq, own, tail): `own` is what a row brings to the fold, `tail` sums up
     rows already known to lose to it."""
     own = F.struct(
-        F.col("seq").alias("winner_seq"), completeness().alias("rank"), F.col("posted_at").alias("posted_at"),
+        F.col("seq").alias("winner_seq"), completeness().alias("rank"), F.unix_micros(F.col("posted_at").cast("timestamp")).alias("posted_at"),
         *[F.coalesce(c, F.lit("")).alias(c) for c in FILLED],
         F.struct("salary_min", "salary_max", F.coalesce("salary_currency", F.lit("")).alias("salary_currency")).alias("salary"),
         (F.coalesce(F.nullif("day_rate_min", F.lit(0.0)))).isNotNull().alias("day_paid"))
@@ -93,7 +93,7 @@ def _slim(df: DataFrame, key: str) -> DataFrame:
 def _no_losers() -> Column:
     first = "struct<seq:bigint,v:string>"
     pay = "struct<seq:bigint,v:struct<salary_min:double,salary_max:double,salary_currency:string>>"
-    return F.struct(F.lit(None).cast("timestamp").alias("posted_at"),
+    return F.struct(F.lit(None).cast("long").alias("posted_at"),
                     *[F.lit(None).cast(first).alias(c) for c in FILLED], F.lit(None).cast(pay).alias("salary"))
 
 
@@ -131,57 +131,21 @@ def _compress(df: DataFrame, chunk: int) -> DataFrame:
         .select("merge_key", "seq", "own", "copies", "sources", F.struct(F.col("_d").alias("posted_at"), *FILLED, "salary").alias("tail")))
 
 
-def _absorb(acc, tail):
-    """The accumulated row takes in a summary of losers."""
-    date = F.when(acc["posted_at"].isNull(), acc["posted_at"]).otherwise(F.least(acc["posted_at"], tail["posted_at"]))
-    return _row(acc, date, lambda c: F.when(acc[c] == "", F.coalesce(tail[c]["v"], F.lit(""))).otherwise(acc[c]),
-                _filled_salary(acc["salary"], tail["salary"]["v"]))
-
-
-def _filled_salary(own, other):
-    currency = F.when(own["salary_currency"] != "", own["salary_currency"]).otherwise(F.coalesce(other["salary_currency"], F.lit("")))
-    taken = F.struct(other["salary_min"].alias("salary_min"), other["salary_max"].alias("salary_max"), currency.alias("salary_currency"))
-    return F.when(~_has_salary(own) & other.isNotNull() & _has_salary(other), taken).otherwise(own)
-
-
-def _row(base, date, field, salary):
-    rank = base["rank"]
-    email, site = field("public_email"), field("company_website")
-    rank = F.struct(_present(email).alias("email"), _present(site).alias("site"),
-                    (F.coalesce(F.nullif(salary["salary_min"], F.lit(0.0))).isNotNull() | base["day_paid"]).alias("paid"),
-                    rank["direct"].alias("direct"), rank["score"].alias("score"), rank["size"].alias("size"))
-    return F.struct(base["winner_seq"].alias("winner_seq"), rank.alias("rank"), date.alias("posted_at"),
-                    *[field(c).alias(c) for c in FILLED], salary.alias("salary"), base["day_paid"].alias("day_paid"))
-
-
-def _merge(acc, new):
-    """Fold one more row in: the fuller row survives, ties keep the one already there."""
-    wins = new["rank"] > acc["rank"]
-
-    def fold(pair):
-        w, x = pair["w"], pair["x"]
-        date = F.when(w["posted_at"].isNotNull(), F.least(w["posted_at"], x["posted_at"]))
-        return _row(w, date, lambda c: F.when(w[c] == "", x[c]).otherwise(w[c]), _filled_salary(w["salary"], x["salary"]))
-
-    return once(F.struct(F.when(wins, new).otherwise(acc).alias("w"), F.when(wins, acc).otherwise(new).alias("x")), fold)
-
-
 def merge_plan(df: DataFrame, key: str = "merge_key") -> DataFrame:
-    """(merge_key, merged, copies, sources): which row survives each group, with the fields
-    it ends up with. After two rounds of compression a group's list holds only rows that
-    each beat all before it, so its length is bounded by the distinct completeness values
-    and in practice grows with the logarithm of the group."""
+    """(merge_key, winner_seq, posted_at, FILLED, salary, copies, merged_sources, first_seq): which row
+    survives each group, with the fields it ends up with. After two rounds of compression a group has
+    only rows that each beat all before it; those stream through the fold."""
     slim = _slim(df, key)
     for chunk in _CHUNKS:
         slim = _compress(slim, chunk)
-    steps = F.array_sort(F.collect_list(F.struct("seq", "own", "tail")))
-    folded = slim.groupBy("merge_key").agg(
-        steps.alias("steps"), F.sum("copies").alias("copies"), F.min("seq").alias("first_seq"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("sources")))).alias("merged_sources"))
-    first = F.col("steps")[0]
-    merged = F.aggregate(F.slice("steps", 2, F.size("steps")), _absorb(first["own"], first["tail"]),
-                         lambda acc, s: once(_merge(acc, s["own"]), lambda m: _absorb(m, s["tail"])))
-    return folded.select("merge_key", merged.alias("m"), "copies", "merged_sources", "first_seq")
+    order = Window.partitionBy("merge_key").orderBy("seq")
+    alone = (F.col("copies") == 1) & F.lag("seq").over(order).isNull() & F.lead("seq").over(order).isNull()
+    slim = written(slim.withColumn("alone", alone), "fold")
+    single = slim.where("alone").select(
+        "merge_key", "own.winner_seq", "own.posted_at", *(f"own.{c}" for c in FILLED), "own.salary.*",
+        "copies", F.array_sort("sources").alias("merged_sources"), F.col("seq").alias("first_seq"))
+    folded = fold_groups(slim.where("NOT alone").drop("alone"), FILLED)
+    return single.unionByName(folded).withColumn("posted_at", F.timestamp_micros("posted_at"))
 
 
 def merge_duplicates(df: DataFrame, key: str = "merge_key", full: DataFrame | None = None) -> DataFrame:
@@ -190,15 +154,12 @@ def merge_duplicates(df: DataFrame, key: str = "merge_key", full: DataFrame | No
     grouping; full rows are shuffled once, by their own unique seq. `full` may name the table
     to take them from, when `df` is a narrower or joined form of it."""
     full = df if full is None else full
+    moved = [*FILLED, "salary_min", "salary_max", "salary_currency", "posted_at"]
     plan = merge_plan(df, key).select(
-        F.col("m.winner_seq").alias("seq"), F.col("merge_key").alias("_key"), F.col("m.posted_at").alias("_posted"),
-        *[F.col(f"m.{c}").alias(f"_{c}") for c in FILLED], F.col("m.salary").alias("_salary"),
-        "copies", "merged_sources", "first_seq")
+        F.col("winner_seq").alias("seq"), F.col("merge_key").alias("_key"), *(F.col(c).alias(f"_{c}") for c in moved), "copies", "merged_sources", "first_seq")
     joined = full.join(plan, "seq")
-    moved = {c: F.col(f"_{c}") for c in FILLED}
-    moved.update({c: F.col(f"_salary.{c}") for c in ("salary_min", "salary_max", "salary_currency")})
-    moved.update(posted_at=F.col("_posted"), sources=F.col("merged_sources"), fingerprint=F.col("_key"))
-    kept = [moved.get(c, F.col(c)).alias(c) for c in full.columns if c not in ("merge_key",)]
+    taken = {**{c: F.col(f"_{c}") for c in moved}, "sources": F.col("merged_sources"), "fingerprint": F.col("_key")}
+    kept = [taken.get(c, F.col(c)).alias(c) for c in full.columns if c not in ("merge_key",)]
     return joined.select(*kept, "copies", "first_seq")
 
 

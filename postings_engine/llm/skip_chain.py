@@ -232,7 +232,7 @@ class Field:
         def beliefs():
             total = own.copy()
             for (_, to, _), message in zip(edges, messages):
-                np.add.at(total, to, message)
+                total[to] += message  # a token has one edge of each sort at most
             return total
         for _ in range(PASSES if len(pairs) or len(alike) else 0):
             total, new = beliefs(), []

@@ -14,41 +14,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Completeness, left to right; the first three change as a row is filled.
+RANK = ("email", "site", "paid", "direct", "score", "size")
 #: Merged rows that leave together.
 ROWS_OUT = 2000
 
 
 class Merged:
-    """The surviving row so far: `own` as the fold's input gives it, filled from what lost to it."""
-
-    def __init__(self, own: dict):
-        self.own, self.rank = own, tuple(own["rank"].values())
-
-    def _settle(self) -> None:
-        own, (_, _, _, *rest) = self.own, self.rank
-        self.rank = (own["public_email"] != "", own["company_website"] != "", bool(own["salary"]["salary_min"]) or own["day_paid"], *rest)
-
-    def fill(self, names: tuple[str, ...], value, date, pay: dict | None) -> None:
-        """Takes the earlier date, and what it has not from a loser: value(name) and pay."""
-        own = self.own
-        if own["posted_at"] is not None and date is not None:
-            own["posted_at"] = min(own["posted_at"], date)
-        for name in names:
-            if own[name] == "":
-                own[name] = value(name)
-        if pay and _paid(pay) and not _paid(own["salary"]):
-            own["salary"] = {**pay, "salary_currency": own["salary"]["salary_currency"] or pay["salary_currency"] or ""}
-        self._settle()
-
-    def meet(self, new: "Merged", names: tuple[str, ...]) -> "Merged":
-        """The fuller of the two, a tie keeping this one, with what it lacks from the other."""
-        wins, loses = (new, self) if new.rank > self.rank else (self, new)
-        wins.fill(names, loses.own.__getitem__, loses.own["posted_at"], loses.own["salary"])
-        return wins
-
-
-def _paid(pay: dict) -> bool:
-    return bool(pay["salary_min"] or pay["salary_max"])
+    """The surviving row so far, filled from what lost to it. Fields are in the fold's order, the mailbox
+    and the site at the places that completeness looks at."""
+
+    __slots__ = ("seq", "at", "fields", "pay", "day_paid", "rank")
+
+    def __init__(self, seq, at, fields, pay, day_paid, rank):
+        self.seq, self.at, self.fields, self.pay, self.day_paid, self.rank = seq, at, fields, pay, day_paid, rank
+
+    def fill(self, at, fields, pay, mail: int, site: int) -> None:
+        """Takes the earlier date, and what it has not, from a loser."""
+        if at is not None and self.at is not None and at < self.at:
+            self.at = at
+        changed = False
+        for i, value in enumerate(self.fields):
+            if not value and fields[i]:
+                self.fields[i] = fields[i]
+                changed = True
+        if (pay[0] or pay[1]) and not (self.pay[0] or self.pay[1]):
+            self.pay = (pay[0], pay[1], self.pay[2] or pay[2] or "")
+            changed = True
+        if changed:
+            self.rank = (self.fields[mail] != "", self.fields[site] != "", bool(self.pay[0]) or self.day_paid, *self.rank[3:])
 
 
 def fold_groups(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
@@ -60,25 +54,33 @@ def fold_groups(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
     ddl = "merge_key string, winner_seq long, posted_at long, " + ", ".join(f"{n} string" for n in names) + \
           ", salary_min double, salary_max double, salary_currency string, copies long, merged_sources array<string>, first_seq long"
 
+    mail, site, wide = names.index("public_email"), names.index("company_website"), len(names)
+    pay = ("salary_min", "salary_max", "salary_currency")
+    flat = rows.select(
+        "merge_key", "seq", "copies", "sources", "own.winner_seq", "own.posted_at", F.col("own.day_paid"), *(F.col(f"own.rank.{r}").alias(f"rank_{r}") for r in RANK), *(f"own.salary.{c}" for c in pay), *(f"own.{c}" for c in names),
+        F.col("tail.posted_at").alias("lost_at"), *(F.col(f"tail.salary.v.{c}").alias(f"lost_{c}") for c in pay), *(F.col(f"tail.{c}.v").alias(f"lost_{c}") for c in names))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, acc, first, copies, sources, done = None, None, 0, 0, set(), []
 
         def finished():
-            own = acc.own
-            return (key, own["winner_seq"], own["posted_at"], *(own[n] for n in names), *own["salary"].values(), copies, sorted(sources), first)
+            return (key, acc.seq, acc.at, *acc.fields, *acc.pay, copies, sorted(sources), first)
         for batch in batches:
-            for row in batch.to_pylist():
-                new = Merged(row["own"])
-                if acc is None or row["merge_key"] != key:
+            for own_key, seq, n, own_sources, winner, at, day_paid, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+                new = Merged(winner, at, rest[9:9 + wide], tuple(rest[6:9]), day_paid, tuple(rest[:6]))
+                if acc is None or own_key != key:
                     if acc is not None:
                         done.append(finished())
-                    key, acc, first, copies, sources = row["merge_key"], new, row["seq"], 0, set()
+                    key, acc, first, copies, sources = own_key, new, seq, 0, set()
+                elif new.rank > acc.rank:
+                    new.fill(acc.at, acc.fields, acc.pay, mail, site)
+                    acc = new
                 else:
-                    acc = acc.meet(new, names)
-                tail = row["tail"]
-                acc.fill(names, lambda n: (tail[n] or {"v": ""})["v"], tail["posted_at"], (tail["salary"] or {"v": None})["v"])
-                copies += row["copies"]
-                sources.update(row["sources"])
+                    acc.fill(new.at, new.fields, new.pay, mail, site)
+                lost = rest[9 + wide:]
+                acc.fill(lost[0], lost[4:], lost[1:4], mail, site)
+                copies += n
+                sources.update(own_sources)
             if len(done) >= ROWS_OUT:
                 yield _batch(done, schema)
                 done = []
@@ -86,7 +88,7 @@ def fold_groups(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
             done.append(finished())
         if done:
             yield _batch(done, schema)
-    return rows.repartition("merge_key").sortWithinPartitions("merge_key", "seq").mapInArrow(run, ddl)
+    return flat.repartition("merge_key").sortWithinPartitions("merge_key", "seq").mapInArrow(run, ddl)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:

@@ -3,16 +3,21 @@ streaming de-duplication within the freshness horizon."""
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable
+from datetime import timedelta
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import add_keys
-from ..operators.state import SEEN_SCHEMA, save_version, upsert_seen
+from ..operators.state import upsert_seen
 from ..plans.screen import screen
 from ..profile import SearchProfile
 from ..schema import POSTINGS
+from ..session import remove
+from .registry_store import RegistryStore
 
 
 def read_landed(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -22,46 +27,73 @@ def read_landed(spark: SparkSession, path: str, max_files: int | None = None) ->
     return reader.parquet(path)
 
 
-def _registry(spark: SparkSession, state: str, before: int) -> DataFrame:
-    """The registry as it stood before a batch: the newest version below its id."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(state)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    done = []
-    if fs.exists(path):
-        for entry in fs.listStatus(path):
-            name = entry.getPath().getName()
-            if name.startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(entry.getPath(), "_SUCCESS")):
-                done.append(int(name.split("=", 1)[1]))
-    earlier = [v for v in done if v < before]
-    return spark.read.schema(SEEN_SCHEMA).parquet(f"{state}/version={max(earlier)}") if earlier else spark.createDataFrame([], SEEN_SCHEMA)
-
-
-def screen_batch(prof: SearchProfile, run_ts: Column, state: str, leads_path: str, run_date: Column) -> Callable:
-    """A foreachBatch step: screen, label against the registry, write leads, write the next
-    registry version. Both outputs are named by the batch id and overwritten whole, and the
-    registry is read from the version before, so a replayed batch changes nothing."""
+def screen_batch(prof: SearchProfile, run_ts: Column, store: RegistryStore, leads_path: str, run_date: Column) -> Callable:
+    """A foreachBatch step: screen, label against the registry, write the leads, add them to the
+    registry. A batch is screened once: the registry is fed from the leads as written, and so is the
+    label. Outputs are named by the batch id and overwritten whole, so a replayed batch changes nothing."""
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        seen = _registry(spark, state, batch_id)
-        kept = screen(batch, prof, run_ts).where("route in ('qualified', 'prospect')")
-        leads_dir = f"{leads_path}/batch={batch_id}"
-        registry, labelled = upsert_seen(seen, kept, run_date)
-        labelled.write.mode("overwrite").parquet(leads_dir)
-        save_version(registry, state, batch_id)
+        stage = f"{store.root}/screened/batch={batch_id}"
+        screen(batch, prof, run_ts).where("route in ('qualified', 'prospect')").write.mode("overwrite").parquet(stage)
+        kept = spark.read.parquet(stage)
+        seen = store.before(batch_id, store.buckets_of(kept))
+        upsert_seen(seen, kept, run_date)[1].write.mode("overwrite").parquet(f"{leads_path}/batch={batch_id}")
+        store.put(kept, batch_id, run_date)
+        remove(spark, stage)
     return step
 
 
 def stream_screen(spark: SparkSession, path: str, prof: SearchProfile, state: str, leads_path: str, checkpoint: str,
-                  run_ts: Column | None = None, max_files: int | None = None):
+                  run_ts: Column | None = None, max_files: int | None = None, buckets: int = 64):
     """Starts the query over everything landed so far; run it again for what arrives later."""
     run_ts = F.current_timestamp() if run_ts is None else run_ts
-    step = screen_batch(prof, run_ts, state, leads_path, F.to_date(run_ts))
+    step = screen_batch(prof, run_ts, RegistryStore(spark, state, buckets), leads_path, F.to_date(run_ts))
     return (read_landed(spark, path, max_files).writeStream.foreachBatch(step)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def stream_dedupe(stream: DataFrame, days: int) -> DataFrame:
-    """First posting per fingerprint within the horizon; rows later than it are dropped and
+    """First posting per fingerprint to arrive within the horizon; rows later than it are dropped and
     the state they would need is let go."""
     keyed = add_keys(stream) if "fingerprint" not in stream.columns else stream
     return keyed.withWatermark("posted_at", f"{days} days").dropDuplicatesWithinWatermark(["fingerprint"])
+
+
+_STATE = "kept_at long, waiting binary"
+
+
+def stream_first_seen(stream: DataFrame, key: str, at: str, order: str, horizon: timedelta, lateness: timedelta) -> DataFrame:
+    """The rows of a stream that are not repeats, by their own time and not by when they arrive: of a
+    key's rows, in order of `at` and then `order`, one stays and those less than `horizon` after it go.
+    A row waits until no earlier one can arrive, `lateness` after the newest; what comes later than that is dropped.
+
+    A key's state is the time of its last kept row and its rows that wait, so it is bounded by what the
+    key has within the lateness; it is let go when the horizon has passed. Rows without a key or a time repeat nothing and stay."""
+    whole = F.col(key).isNotNull() & F.col(at).isNotNull()
+    span = int(horizon / timedelta(microseconds=1))
+
+    def step(_, frames, state):
+        kept_at, waiting = state.get if state.exists else (None, None)
+        rows = pd.concat([*([pickle.loads(waiting)] if waiting else []), *frames], ignore_index=True)
+        final = state.getCurrentWatermarkMs() * 1000
+        times = rows[at].astype("datetime64[us]").astype("int64")
+        done = rows.assign(_at=times)[times <= final].sort_values(["_at", order], kind="stable")
+        stays = []
+        for t in done["_at"]:
+            stays.append(kept_at is None or t - kept_at >= span)
+            kept_at = t if stays[-1] else kept_at
+        left, ends = rows[times > final], None
+        if len(left):
+            ends = -(-int(times[times > final].min()) // 1000)
+        elif kept_at is not None and kept_at + span > final:
+            ends = -(-(kept_at + span) // 1000)
+        if ends is None:
+            state.remove()
+        else:
+            state.update((None if kept_at is None else int(kept_at), pickle.dumps(left) if len(left) else None))
+            state.setTimeoutTimestamp(max(ends, final // 1000 + 1))
+        yield done[pd.Series(stays, index=done.index, dtype=bool)].drop(columns="_at")
+
+    timed = stream.where(whole).withWatermark(at, f"{int(lateness / timedelta(milliseconds=1))} milliseconds")
+    kept = timed.groupBy(key).applyInPandasWithState(step, stream.schema, _STATE, "append", "EventTimeTimeout")
+    return kept.unionByName(stream.where(~whole))

@@ -18,6 +18,7 @@ from postings_engine.plans.screen import screen
 from postings_engine.schema import to_postings
 from postings_engine.sinks import reports
 from postings_engine.streaming.incremental import stream_dedupe, stream_screen
+from postings_engine.streaming.registry_store import RegistryStore
 
 SF = "/root/testdata/sf0.001"
 
@@ -99,15 +100,16 @@ def test_incremental_screen_is_idempotent(spark, clock):
     posts = _stored(spark)
     posts.where("seq % 2 = 0").coalesce(1).write.parquet(landed, mode="append")
     go = lambda ckpt: stream_screen(spark, landed, PROFILE, root + "/state", root + "/leads", root + ckpt, clock).awaitTermination()
+    store = RegistryStore(spark, root + "/state")
     go("/ckpt")
-    first = spark.read.parquet(root + "/state/version=0").count()
+    first = sorted(store.before(1).collect())
     go("/ckpt-lost")  # the same batch again, as after a crash before the commit
-    replay = spark.read.parquet(root + "/state/version=0")
-    assert replay.count() == first > 0 and replay.agg(F.max("times_seen")).first()[0] >= 1
+    assert sorted(store.before(1).collect()) == first and len(first) > 0
     posts.where("seq % 2 = 1").coalesce(1).write.parquet(landed, mode="append")
     go("/ckpt")
-    assert spark.read.parquet(root + "/state/version=1").count() >= first
+    assert store.before(2).count() >= len(first)
     assert sorted(os.path.basename(p) for p in glob.glob(root + "/leads/batch=*")) == ["batch=0", "batch=1"]
+    assert not glob.glob(root + "/state/screened/batch=*")
 
 
 def test_stream_dedupe(spark):

@@ -123,3 +123,36 @@ def test_running_total(spark):
     for i in range(1000):
         assert got[i] == total
         total += i % 7
+
+
+def test_a_group_of_a_million_rows(spark):
+    """Rising score, and in a second group rising length: every row beats all before it."""
+    n = 1_000_000
+    df = spark.range(n).select(
+        F.col("id").alias("seq"), F.lit("hot").alias("merge_key"), F.col("id").cast("int").alias("match_score"), F.lit("").alias("description"))
+    m = 3_000
+    df = df.unionByName(spark.range(n, n + m).select(
+        F.col("id").alias("seq"), F.lit("long").alias("merge_key"), F.lit(7).alias("match_score"), F.repeat(F.lit("x"), (F.col("id") - n).cast("int")).alias("description")))
+    at = F.when(F.col("seq") < n, F.col("seq")).otherwise(F.col("seq") - n)
+    blank = F.lit("")
+    df = df.select(
+        "*", F.col("merge_key").alias("fingerprint"), F.lit("a").alias("source"), F.array(F.lit("a")).alias("sources"), F.col("seq").cast("string").alias("posting_id"), blank.alias("application_url"),
+        F.when(at == 3, 10.0).alias("salary_min"), F.lit(None).cast("double").alias("salary_max"), F.when(at % 1000 == 9, F.lit("GBP")).otherwise(blank).alias("salary_currency"), F.lit(None).cast("double").alias("day_rate_min"),
+        F.timestamp_seconds(1_700_000_000 + at).alias("posted_at"), blank.alias("public_email"), F.when(at % 1000 == 7, F.concat(F.lit("p"), at.cast("string"))).otherwise(blank).alias("public_phone"),
+        blank.alias("best_contact_name"), blank.alias("contact_role"), blank.alias("company_website"), F.when(at == 5, F.lit("careers")).otherwise(blank).alias("careers_page"))
+    got = {r.fingerprint: r for r in dedupe.merge_duplicates(df.where("merge_key = 'long'")).collect()}
+    # the paid row 3 stays, as no later row is paid; the first phone and careers page fill it
+    for key, first, size in (("long", n, m),):
+        r = got[key]
+        assert (r.posting_id, r.copies, r.public_phone, r.careers_page, r.salary_min, r.first_seq, r.sources) == (str(first + 3), size, "p7", "careers", 10.0, first, ["a"])
+    unpaid = df.withColumn("salary_min", F.lit(None).cast("double"))
+    plan = dedupe.merge_duplicates(unpaid)
+    assert "collect_list" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.fingerprint: r for r in plan.collect()}
+    for key, first, size in (("hot", 0, n), ("long", n, m)):
+        r = got[key]
+        assert (r.posting_id, r.copies, r.public_phone, r.careers_page, r.posted_at) == (str(first + size - 1), size, f"p{size - 993}", "careers", dedupe_date(spark))
+
+
+def dedupe_date(spark):
+    return spark.range(1).select(F.timestamp_seconds(F.lit(1_700_000_000))).first()[0]

@@ -171,6 +171,18 @@ def _(spark, sf):
     return df.select("event_id", stamp("posted_at").alias("posted"))
 
 
+_FIELD_SHAPES = ("d/M/yy", "MMM d yy", "EEE MMM dd yyyy HH:mm:ss 'GMT+0000'", "d MMM yyyy 'at' h:mm a", "EEEE d MMMM yyyy", "d-MMM-yy HH:mm")
+_FIELD_SQL = ("day", "day", "second", "minute", "day", "minute")
+
+
+@query("dat_1_fields", "SELECT event_id, " + stamp_sql("CASE event_id % 6 " + " ".join(f"WHEN {k} THEN date_trunc('{v}', ts)" for k, v in enumerate(_FIELD_SQL)) + " END") + " AS posted FROM events")
+def _(spark, sf):
+    """Shapes that are settled by their fields."""
+    df = with_run_ts(spark, sf, read(spark, sf, "events")).withColumn("ts", F.col("ts").cast("timestamp"))
+    shape = F.coalesce(*(F.when(F.col("event_id") % 6 == k, F.date_format("ts", f)) for k, f in enumerate(_FIELD_SHAPES)))
+    return dates.parse_posted(df.withColumn("raw", shape), "raw", RUN()).select("event_id", stamp("posted_at").alias("posted"))
+
+
 _start = lambda days: f"(CAST({S.LOCAL(S.RUN)} - {days - 1} AS TIMESTAMP) AT TIME ZONE 'Europe/London' AT TIME ZONE 'UTC')"
 
 

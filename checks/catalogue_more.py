@@ -161,12 +161,35 @@ def _(spark, sf):
     return verdicts.long_shots(verdicts.apply_fit(leads_of(spark, sf), verdicts_of(spark, sf))).select("posting_id")
 
 
-@query("ver_5_spend", """SELECT event_id, round(sum(cost) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - cost, 2) AS spent_before FROM (
-  SELECT event_id, (user_id * 10 + user_id * 1.25 + value * 0.1) * 5.0 / 1000000 + (event_id % 500) * 25.0 / 1000000 AS cost FROM events)""")
-def _(spark, sf):
-    usage = read(spark, sf, "events").select("event_id", F.col("event_id").alias("seq"), F.lit("m").alias("model"), (F.col("user_id") * 10).alias("input"),
-                                             F.col("user_id").alias("cache_written"), F.col("value").alias("cache_read"), (F.col("event_id") % 500).alias("output"))
-    return verdicts.spend(usage, 3.0).select("event_id", F.round("spent_before", 2).alias("spent_before"))
+_COST_UNITS = """((user_id * 10 * 100 + user_id * 125 + CAST(floor(value) AS BIGINT) * 10)::HUGEINT * CASE event_id % 3 WHEN 0 THEN 3000000 WHEN 1 THEN 150000 ELSE 5000000 END
+  + (event_id % 500) * 100 * CASE event_id % 3 WHEN 0 THEN 15000000 WHEN 1 THEN 600000 ELSE 25000000 END::HUGEINT)"""
+
+
+@query("ver_4_long_shots_kept", """WITH a AS (SELECT count(*) AS kept FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id % 70 < 69)),
+  w AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id % 70 DESC, doc_id DESC) AS place FROM documents JOIN labels USING (doc_id) WHERE doc_id % 70 < 69)
+  SELECT CAST(doc_id AS VARCHAR) AS posting_id FROM w, a WHERE place > (SELECT count(*) FROM labels) // 10""")
+def _(spark, sf):
+    """Nearly all are weak; as many as a tenth of the verdicts are kept beside those without one."""
+    leads, found = leads_of(spark, sf), verdicts_of(spark, sf)
+    judged = verdicts.apply_fit(leads, found)
+    above = judged.where(~(F.col("has_fit_verdict") & (F.col("model_chance") < 69))).count()
+    more = read(spark, sf, "labels").count() // 10
+    return verdicts.long_shots(judged, floor=69, min_kept=above + more).select("posting_id")
+
+
+@query("ver_5_spend", f"""WITH c AS (SELECT event_id, {_COST_UNITS} AS cost FROM events), s AS (SELECT event_id, cost, sum(cost) OVER (ORDER BY event_id) - cost AS spent FROM c),
+  half AS (SELECT spent FROM s WHERE event_id = (SELECT max(event_id) // 2 FROM s))
+  SELECT event_id, CAST(cost AS VARCHAR) AS cost, CAST(s.spent AS VARCHAR) AS spent_before, s.spent < half.spent AS admitted FROM s, half""")
+def _(spark, sf):
+    """Priced by a table that lacks one of three models; the limit is what a call in the middle finds spent, to the last digit."""
+    events = read(spark, sf, "events")
+    usage = events.select("event_id", F.col("event_id").alias("seq"), F.concat(F.lit("m"), F.col("event_id") % 3).alias("model"), (F.col("user_id") * 10).alias("input"),
+                          F.col("user_id").alias("cache_written"), F.floor("value").alias("cache_read"), (F.col("event_id") % 500).alias("output"))
+    prices = spark.createDataFrame([("m0", 3.0, 15.0), ("m1", 0.15, 0.6)], "model string, price_in double, price_out double")
+    middle = events.agg(F.floor(F.max("event_id") / 2)).first()[0]
+    limit = verdicts.spend(usage, 0, prices).where(F.col("event_id") == middle).first()["spent_before"]
+    units = lambda c: (F.col(c) * F.lit("100000000000000").cast("decimal(15,0)")).cast("decimal(38,0)").cast("string")
+    return verdicts.spend(usage, limit, prices).select("event_id", units("cost").alias("cost"), units("spent_before").alias("spent_before"), "admitted")
 
 
 # ========================================================================== state

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..profile import SearchProfile
-from .text import (stands_alone, has_any, has_any_word, matches_any, mentions, no, normalise, quoted, terms,
+from .text import (all_of, any_of, begins, stands_alone, has_any, has_any_word, matches_any, mentions, no, normalise, quoted, terms,
                    words_in)
 
 
@@ -83,16 +83,17 @@ def _confirmation_pattern(prof: SearchProfile) -> str:
 def strongly_home(hay: Column, header: Column, prof: SearchProfile) -> Column:
     if not prof.home_terms:
         return mentions_home(header, prof)
-    said = has_any(hay, prof.home_terms) & hay.rlike(_confirmation_pattern(prof))
+    said = has_any(hay, prof.home_terms) & hay.rlike(begins(_confirmation_pattern(prof)))
     return mentions_home(header, prof) | said
 
 
-def explicitly_home(hay: Column, header: Column, prof: SearchProfile) -> Column:
-    """Strong evidence, or one sentence naming home in a hiring context that is not just
-    an office address. Sentences are only cut when the text names home at all."""
+def explicitly_home(hay: Column, header: Column, prof: SearchProfile, strong: Column | None = None) -> Column:
+    """Strong evidence (`strong`, where it is known already), or one sentence naming home in a hiring
+    context that is not just an office address. Sentences are only cut when the text names home at all."""
     by_sentence = F.exists(F.split(hay, r"[.!?;\n]+"), lambda s: (
         mentions_home(s, prof) & ~mentions(s, prof.incidental) & mentions(s, fv.ELIGIBILITY_CONTEXT)))
-    return strongly_home(hay, header, prof) | (text_mentions_home(hay, prof) & by_sentence)
+    strong = strongly_home(hay, header, prof) if strong is None else strong
+    return strong | (text_mentions_home(hay, prof) & by_sentence)
 
 
 def home_eligible(df: DataFrame, prof: SearchProfile, hay: str = "r_hay", header: str = "r_header") -> DataFrame:
@@ -152,15 +153,16 @@ def location_country(df: DataFrame, prof: SearchProfile, cities: DataFrame | Non
             .drop("_home", "_named", "_city"))
 
 
-# what must be in the text before a restriction phrase is worth looking for
-_NEEDED = ("must ", "only ", "only", "must be located in", " to ")
+# what must be in the text before a restriction phrase is worth looking for: one of each list
+_NEEDED = ((("must ",),), (("only ",),), (("only",), ("resident", "citizen", "national")), (("must be located in",),), ((" to ",), ("role is", "position is")))
 
 
 def restricted_names(hay: Column) -> Column:
     """Ordered array of the places restriction phrases name, trailing clauses cut."""
     found = []
     for pattern, needed in zip(fv.COUNTRY_RESTRICTION, _NEEDED):
-        found.append(F.when(hay.contains(needed), F.regexp_extract_all(hay, F.lit(pattern), F.lit(1)))
+        worth = all_of(any_of(hay.contains(x) for x in one) for one in needed)
+        found.append(F.when(worth, F.regexp_extract_all(hay, F.lit(pattern), F.lit(1)))
                      .otherwise(F.array().cast("array<string>")))
 
     def trimmed(name: Column) -> Column:

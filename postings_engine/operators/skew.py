@@ -26,18 +26,19 @@ def spread_blank(key: Column, by: str, salts: int = 4096) -> Column:
     return F.coalesce(F.nullif(key, F.lit("")), stand_in)
 
 
-def running_total(df: DataFrame, value: Column, order: str, out: str, chunk: int = 1 << 16) -> DataFrame:
+def running_total(df: DataFrame, value: Column, order: str, out: str, chunk: int = 1 << 16, kind: str = "double") -> DataFrame:
     """Sum of `value` over all rows strictly before this one in `order` (a dense-ish
-    integer). Chunks are summed in parallel, then blocks of `chunk` chunks; only block totals (a
+    integer). A decimal `kind` makes it exact, whatever order parts are added in. Chunks are summed in parallel, then blocks of `chunk` chunks; only block totals (a
     row for 2^32 numbers) are accumulated in one place, then each level runs its own short window."""
-    df = df.select("*", F.floor(F.col(order) / chunk).alias("_chunk"), value.cast("double").alias("_v"))
+    df = df.select("*", F.floor(F.col(order) / chunk).alias("_chunk"), value.cast(kind).alias("_v"))
+    zero = F.lit(0).cast(kind)
     totals = df.groupBy("_chunk").agg(F.sum("_v").alias("_t"))
     totals = totals.withColumn("_block", F.floor(F.col("_chunk") / chunk))
     past = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     blocks = totals.groupBy("_block").agg(F.sum("_t").alias("_b")).select(
-        "_block", F.coalesce(F.sum("_b").over(past(Window.orderBy("_block"))), F.lit(0.0)).alias("_before"))
-    within = F.coalesce(F.sum("_t").over(past(Window.partitionBy("_block").orderBy("_chunk"))), F.lit(0.0))
+        "_block", F.coalesce(F.sum("_b").over(past(Window.orderBy("_block"))), zero).alias("_before"))
+    within = F.coalesce(F.sum("_t").over(past(Window.partitionBy("_block").orderBy("_chunk"))), zero)
     base = totals.withColumn("_w", within).join(blocks, "_block").select("_chunk", (F.col("_before") + F.col("_w")).alias("_base"))
     inside = Window.partitionBy("_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumn("_in", F.coalesce(F.sum("_v").over(inside), F.lit(0.0)))
-    return df.join(base, "_chunk").withColumn(out, F.col("_base") + F.col("_in")).drop("_chunk", "_v", "_in", "_base")
+    df = df.withColumn("_in", F.coalesce(F.sum("_v").over(inside), zero))
+    return df.join(base, "_chunk").withColumn(out, (F.col("_base") + F.col("_in")).cast(kind)).drop("_chunk", "_v", "_in", "_base")

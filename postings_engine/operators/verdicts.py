@@ -115,16 +115,23 @@ def long_shots(leads: DataFrame, floor: int = fv.MIN_CHANCE, min_kept: int = fv.
     return below.join(F.broadcast(rescued.select("posting_id")), "posting_id", "left_anti")
 
 
-def spend(usage: DataFrame, limit: float, prices: DataFrame | None = None) -> DataFrame:
+#: Money to the last digit that a token can cost: rates have two decimals, prices six, by the million.
+MONEY = "decimal(38,14)"
+
+
+def spend(usage: DataFrame, limit: float | str, prices: DataFrame | None = None) -> DataFrame:
     """usage(seq, model, input, cache_written, cache_read, output) -> cost per call, spend
-    before it, and whether it was admitted."""
+    before it, and whether it was admitted. Token counts are whole numbers and money is decimal, so
+    a call at the limit is judged alike however the table is cut."""
     if prices is not None:
         usage = usage.join(prices.select("model", "price_in", "price_out"), "model", "left")
     else:
-        usage = usage.select("*", F.lit(None).cast("double").alias("price_in"), F.lit(None).cast("double").alias("price_out"))
-    tokens_in = (F.coalesce("input", F.lit(0)) + F.coalesce("cache_written", F.lit(0)) * fv.CACHE_WRITE_RATE
-                 + F.coalesce("cache_read", F.lit(0)) * fv.CACHE_READ_RATE)
-    cost = (tokens_in * F.coalesce("price_in", F.lit(fv.MODEL_PRICE_IN))
-            + F.coalesce("output", F.lit(0)) * F.coalesce("price_out", F.lit(fv.MODEL_PRICE_OUT))) / 1e6
-    df = running_total(usage.withColumn("cost", cost), F.col("cost"), "seq", "spent_before")
-    return df.withColumn("admitted", F.col("spent_before") < limit).drop("price_in", "price_out")
+        usage = usage.select("*", F.lit(None).alias("price_in"), F.lit(None).alias("price_out"))
+    count = lambda c: F.coalesce(F.col(c).cast("bigint"), F.lit(0).cast("bigint")).cast("decimal(14,0)")
+    rate = lambda r: F.lit(str(r)).cast("decimal(4,2)")
+    price = lambda c, default: F.coalesce(F.col(c).cast("decimal(12,6)"), F.lit(str(default)).cast("decimal(12,6)"))
+    tokens_in = (count("input") + count("cache_written") * rate(fv.CACHE_WRITE_RATE) + count("cache_read") * rate(fv.CACHE_READ_RATE)).cast("decimal(18,2)")
+    by_million = (tokens_in * price("price_in", fv.MODEL_PRICE_IN) + count("output") * price("price_out", fv.MODEL_PRICE_OUT)).cast("decimal(32,8)")
+    df = usage.withColumn("cost", (by_million * F.lit("0.000001").cast("decimal(6,6)")).cast(MONEY))
+    df = running_total(df, F.col("cost"), "seq", "spent_before", kind=MONEY)
+    return df.withColumn("admitted", F.col("spent_before") < F.lit(str(limit)).cast(MONEY)).drop("price_in", "price_out")

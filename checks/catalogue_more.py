@@ -8,6 +8,7 @@ from postings_engine import fixed_values as fv
 from postings_engine.functions import text
 from postings_engine.operators import aggregate, dedupe, enrich, relevance, state, verdicts, worklist
 from postings_engine.plans import screen as screening
+from postings_engine.session import written
 from postings_engine.sinks import reports
 from postings_engine.sources import feeds, json_feeds, pages as page_src, rss
 
@@ -296,6 +297,14 @@ def _(spark, sf):
     return aggregate.funnel(screened(spark, sf))
 
 
+@query("agg_1_funnel_observed", ORACLE["agg_1_funnel"])
+def _(spark, sf):
+    """Counted while the screened table is written."""
+    rows, counted = aggregate.observed_funnel(screened(spark, sf))
+    written(rows.select("route", "category", "match_score"), "observed")
+    return counted()
+
+
 _LEADS = [S.P, S.N, S.elig_ctes("n"), f"v AS (SELECT * EXCLUDE (remote_status), CASE WHEN el_category = 'not_remote' THEN {S.ARR_LABEL} ELSE remote_status END AS remote_status FROM el)", S.lead_ctes("v")]
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import dedupe, gates
-from ..operators.aggregate import company_directory, directory_order, funnel
+from ..operators.aggregate import company_directory, directory_order, funnel, observed_funnel
 from ..operators.enrich import fill_contacts
 from ..operators.state import label_prospects, upsert_seen
 from ..operators.verdicts import apply_eligibility, apply_fit, long_shots
@@ -37,7 +37,10 @@ def run(postings: DataFrame, prof: SearchProfile, run_ts: Column, seen: DataFram
     four outputs and the merged ones feed several more, so those are the two places where a
     result is written and its lineage cut."""
     keep = (lambda df, by=None: written(df, "run", by)) if materialise else (lambda df, by=None: df)
-    screened = keep(screen(postings, prof, run_ts, sizes), "route")  # each route reads its own part
+    screened, counted = screen(postings, prof, run_ts, sizes), None
+    if materialise:
+        screened, counted = observed_funnel(screened)
+    screened = keep(screened, "route")  # each route reads its own part
     route = lambda name: screened.where(F.col("route") == name)
     merged_q = keep(dedupe.deduplicate(route("qualified"), run_ts, prof.timezone, materialise))
     merged_p = keep(dedupe.deduplicate(route("prospect"), run_ts, prof.timezone, materialise))
@@ -75,7 +78,7 @@ def run(postings: DataFrame, prof: SearchProfile, run_ts: Column, seen: DataFram
         registry, prospects = upsert_seen(registry, keep(prospects), run_day)
         prospects = label_prospects(prospects)
     directory = directory_order(company_directory(dedupe.union_leads(qualified, prospects)))
-    counts = funnel(screened).unionByName(removed.select(F.lit("duplicates_removed").alias("stage"), F.col("duplicates_removed").alias("n")))
+    counts = (counted() if counted else funnel(screened)).unionByName(removed.select(F.lit("duplicates_removed").alias("stage"), F.col("duplicates_removed").alias("n")))
     counts = counts.unionByName(qualified.agg(F.count(F.lit(1)).alias("n")).select(F.lit("qualified").alias("stage"), "n"))
     return RunResult(rank_leads(qualified), rank_leads(prospects), rejected, rank_leads(aside), directory, counts, registry)
 

@@ -99,3 +99,18 @@ def test_a_shared_folder_must_be_named():
         sparkContext = Context()
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(Session())
+
+
+def test_every_named_entity_and_a_page_full_of_them(spark):
+    import html
+    import html.entities
+    import time
+    from postings_engine.functions.text import unescape_entities
+    names = [f"&{n} x" for n in html.entities.html5] + ["&unknown; &", "&#65;&#x1F600;&ampx &notit; &copy2 &amp;amp;"]
+    df = spark.createDataFrame([(n,) for n in names], "t string")
+    got = {r.t: r.u for r in df.select("t", unescape_entities(F.col("t")).alias("u")).collect()}
+    assert got == {n: html.unescape(n) for n in names}
+    page = spark.range(1).select(unescape_entities(F.repeat(F.lit("&zwnj;&yacute; &Aacute "), 50_000)).alias("u"))
+    began = time.time()
+    assert page.first().u == html.unescape("&zwnj;&yacute; &Aacute ") * 50_000
+    assert time.time() - began < 20

@@ -3,12 +3,16 @@ payloads and pages are built by Spark from the tables' rows, so the work grows w
 
 from __future__ import annotations
 
+import uuid
+from types import SimpleNamespace
+
 from pyspark.sql import functions as F
 
 from postings_engine import fixed_values as fv
 from postings_engine.functions import text
-from postings_engine.operators import enrich, relevance, score
+from postings_engine.operators import dedupe, enrich, relevance, score
 from postings_engine.registry import register_rule, remove_rule
+from postings_engine.session import shared_folder, written
 from postings_engine.sinks import reports
 from postings_engine.sources import feeds, json_feeds, pages as page_src, rss
 
@@ -260,6 +264,48 @@ def _(spark, sf):
     return base(spark, sf).select("posting_id", reports.defused(lead).alias("title"))
 
 
+_SUNK = [S.P, S.N, S.elig_ctes("n"), f"v AS (SELECT * EXCLUDE (remote_status), CASE WHEN el_category = 'not_remote' THEN {S.ARR_LABEL} ELSE remote_status END AS remote_status FROM el)", S.lead_ctes("v"), S.K,
+         "sk AS (SELECT sc.*, kf.fingerprint FROM sc JOIN kf USING (posting_id))"]
+_SHEETS = """sheets AS (SELECT *, unnest(list_filter(['All Qualified Jobs', CASE WHEN match_score >= 85 THEN 'Hot Leads' END, 'Quick Apply', CASE WHEN employment_type = 'Full Time' THEN 'Full Time' END, CASE WHEN employment_type = 'Part Time' THEN 'Part Time' END,
+  CASE WHEN employment_type = 'Contract' THEN 'Contract' END, CASE WHEN employment_type = 'Freelance' THEN 'Freelance' END, CASE WHEN is_startup THEN 'Startups' END, CASE WHEN is_partnership THEN 'Partnerships' END], lambda s: s IS NOT NULL)) AS sheet FROM sk WHERE seq % 4 <> 0
+  UNION ALL SELECT *, CASE WHEN seq % 8 = 0 THEN 'Prospects' ELSE 'Long Shots' END FROM sk WHERE seq % 4 = 0),
+kept AS (SELECT * FROM sheets QUALIFY row_number() OVER (PARTITION BY sheet, fingerprint ORDER BY match_score DESC, coalesce(epoch_us(posted_at), 0) DESC, seq) = 1)"""
+
+
+def sunk(spark, sf):
+    """All postings as leads: a quarter of them prospects and long shots, the rest qualified."""
+    leads = written(all_leads(spark, sf).withColumns({"is_prospect": F.col("seq") % 8 == 0, "rejection_reason": F.lit("not confirmed")}), "sunk")
+    return SimpleNamespace(qualified=leads.where("seq % 4 <> 0"), prospects=leads.where("seq % 8 = 0"), long_shots=leads.where("seq % 8 = 4"),
+                           companies=leads.limit(0), funnel=leads.limit(0), rejected=leads.where("seq % 8 = 0").withColumn("rejection_category", F.lit("ineligible")))
+
+
+@query("snk_1_sheets_in_order", S.select("""SELECT sheet, CAST(row_number() OVER (PARTITION BY sheet ORDER BY match_score DESC, coalesce(posted_at, make_timestamp(0)) DESC, seq) - 1 AS BIGINT) AS place, seq, match_score, trim(title) AS title FROM kept""", *_SUNK, _SHEETS))
+def _(spark, sf):
+    """Every sheet as its files have it, read back."""
+    path = f"{shared_folder(spark)}/snk-1-{uuid.uuid4().hex}"
+    leads = sunk(spark, sf)
+    reports.write_sheets(reports.sheet_rows(leads.qualified, leads.prospects, leads.long_shots, PROFILE), path)
+    return reports.read_sheets(spark, path).select("sheet", "place", "seq", "match_score", "title")
+
+
+@query("snk_2_csv_read_back", S.select("""SELECT posting_id, trim(title) AS title, CAST(match_score AS VARCHAR) AS match_score, CASE WHEN seq % 8 = 0 THEN 'Prospect' WHEN seq % 8 = 4 THEN 'Long Shot' WHEN match_score >= 85 THEN 'Hot Lead' ELSE 'Qualified' END AS "Sheet",
+  md5(description) AS body FROM sk""", *_SUNK))
+def _(spark, sf):
+    path = f"{shared_folder(spark)}/snk-2-{uuid.uuid4().hex}"
+    reports.export_csv(sunk(spark, sf), path)
+    back = spark.read.options(**reports.CSV_OPTIONS).csv(path)
+    return back.select("posting_id", "title", "match_score", "Sheet", F.md5("description").alias("body"))
+
+
+@query("snk_3_json_read_back", S.select("""SELECT b AS bucket, posting_id, match_score, trim(title) AS title, md5(description) AS body FROM (SELECT *, unnest(CASE WHEN seq % 8 = 0 THEN ['prospects'] WHEN seq % 8 = 4 THEN ['long_shots'] WHEN match_score >= 85 THEN ['qualified_jobs', 'hot_leads'] ELSE ['qualified_jobs'] END) AS b FROM sk)""", *_SUNK))
+def _(spark, sf):
+    path = f"{shared_folder(spark)}/snk-3-{uuid.uuid4().hex}"
+    reports.export_json(sunk(spark, sf), path)
+    schema = "posting_id string, match_score int, title string, description string"
+    back = [spark.read.schema(schema).json(f"{path}/{name}").withColumn("bucket", F.lit(name)) for name in ("qualified_jobs", "hot_leads", "prospects", "long_shots")]
+    return dedupe.union_leads(*back).select("bucket", "posting_id", "match_score", "title", F.md5("description").alias("body"))
+
+
 @query("ext_1_rule_registry", S.select("SELECT posting_id, gate = 0 AND NOT contains(hay, 'depot') AS passed FROM rel", S.P, S.N, S.REL))
 def _(spark, sf):
     register_rule("relevance_gate", 65, lambda c, prof: F.when(c("hay").contains("depot"), "Depot work"), "no_depots")

@@ -27,6 +27,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name that none of the taken ones equals, in any case."""
+    known = {t.lower() for t in taken}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Arrow batches of few rows, as rows here hold whole texts or arrays: bounds what a batch takes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, fresh
 
 MOST_MEAN = 16.0
 #: Terms of a table of cumulative probabilities; the tail beyond is below 1e-20 at MOST_MEAN.
@@ -62,14 +62,17 @@ def poisson_copies(docs: DataFrame, rates: DataFrame, seed: int = 0) -> DataFram
     docs with rate, n_copies, copy (from 1) and shuffle_key, a row for each copy. Not yet in order."""
     kept = [c for c in docs.columns if c not in ("copy", "n_copies", "rate", "shuffle_key")]
     parts = F.greatest(F.ceil(F.col("rate") / MOST_MEAN), F.lit(1)).cast("int")
-    tables = rates.select(F.col("source").alias("rate_source"), "rate", parts.alias("parts")).withColumn("sums", cumulative(F.col("rate") / F.col("parts")))
-    rows = docs.select(*kept).join(tables, F.col("source").eqNullSafe(F.col("rate_source")))
+    tables = rates.withColumn("parts", parts).withColumn("sums", cumulative(F.col("rate") / F.col("parts")))
+    # both sides are one struct each, so that no column of docs can clash with a name used here
+    row, table = fresh("row", docs.columns), fresh("table", docs.columns)
+    rows = docs.select(F.struct(*kept).alias(row)).join(tables.select(F.struct("source", "rate", "parts", "sums").alias(table)), F.col(f"{row}.source").eqNullSafe(F.col(f"{table}.source")))
     # the number of cumulative probabilities that are not above the draw
-    inverted = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda j: F.size(F.filter(F.col("sums"), lambda c: c <= draw(F.lit(seed), F.col("doc_id"), j))))
-    counted = rows.withColumn("n_copies", F.aggregate(inverted, F.lit(0), lambda a, x: a + x)).where("n_copies > 0")
+    doc_id, sums = F.col(f"{row}.doc_id"), F.col(f"{table}.sums")
+    inverted = F.transform(F.sequence(F.lit(1), F.col(f"{table}.parts")), lambda j: F.size(F.filter(sums, lambda c: c <= draw(F.lit(seed), doc_id, j))))
+    counted = rows.select(row, F.col(f"{table}.rate").alias("rate"), F.aggregate(inverted, F.lit(0), lambda a, x: a + x).alias("n_copies")).where("n_copies > 0")
     copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
-    key = F.md5(F.concat_ws("|", F.lit(f"order {seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("copy").cast("string")).cast("binary"))
-    return copies.select(*kept, "rate", "n_copies", "copy", key.alias("shuffle_key"))
+    key = F.md5(F.concat_ws("|", F.lit(f"order {seed}"), F.coalesce(doc_id.cast("string"), F.lit("null")), F.col("copy").cast("string")).cast("binary"))
+    return copies.select(*(F.col(f"{row}.`{c}`").alias(c) for c in kept), "rate", "n_copies", "copy", key.alias("shuffle_key"))
 
 
 def mix_sources(docs: DataFrame, weights: DataFrame | None = None, temperature: float = 0.5, seed: int = 0) -> DataFrame:

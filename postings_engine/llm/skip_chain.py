@@ -10,7 +10,7 @@ what its like is elsewhere. Tokens that are of a kind with `certain` probability
 span add spans; base spans always stay.
 
 The weights are fitted here, by pseudo-likelihood, to the base spans of SAMPLE documents of at most
-SAMPLE_BYTES, those with the smallest hashes of id and text: each token's label given its neighbours'. A token
+SAMPLE_BYTES and SAMPLE_TOKENS together, those with the smallest hashes of id and text: each token's label given its neighbours'. A token
 with a skip edge is seen a second time with its form and neighbours hidden, so that the edge's weight
 is learned although the form alone would do. The statistics are frozen; every whole text is read.
 
@@ -39,6 +39,8 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = 1 + 2 * len(KINDS)
 KIND_OF = np.array([0, *(k + 1 for k in range(len(KINDS)) for _ in "bi")])
 SAMPLE, SAMPLE_BYTES = 1_000, 65_536
+#: The fit takes documents of the sample, in order of their hashes, as long as their tokens come to no more.
+SAMPLE_TOKENS = 8_000
 PASSES = 20
 #: Below twice the inverse of the squared size of a token's features, so that the fit comes to rest.
 STEP = 0.1
@@ -296,7 +298,7 @@ def fit(features: np.ndarray, pairs: np.ndarray, alike: np.ndarray, labels: np.n
     return Field(weights[0][:FEATURES], weights[1], (weights[2] + weights[2].T) / 2)
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> Field:
+def train(docs: DataFrame, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES, most_tokens: int = SAMPLE_TOKENS) -> Field:
     """The field fitted to the base spans of a bounded sample of docs(doc_id, text)."""
     small_batches(docs.sparkSession, 200)
     able = docs.where((F.octet_length("text") <= most_bytes) & F.col("text").rlike("[0-9@]")).select("text", F.xxhash64("doc_id", "text").alias("pick"))
@@ -320,6 +322,8 @@ def train(docs: DataFrame, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES)
     parts, first = ([], [], [], []), 0
     for r in rows:
         labels = np.frombuffer(r["labels"], "<i4")
+        if first + len(labels) > most_tokens:
+            continue
         for part, name, width in zip(parts, ("features", "pairs", "alike"), (WIDTH, 2, 2)):
             part.append(np.frombuffer(r[name], "<i4").reshape(-1, width).astype(np.int64) + (first if name != "features" else 0))
         parts[3].append(labels)

@@ -2,6 +2,9 @@ import pytest
 from pyspark.sql import types as T
 
 SF = "/root/testdata/sf0.001"
+#: Names that operators use inside.
+CLASHING = ("n", "copy", "rate", "shard", "key", "component_id", "ids", "score", "parts", "sums", "rate_source", "lost_id", "lost_lines", "row", "table", "grp", "place", "digest", "found", "steps", "block",
+            "node", "cluster", "component", "group", "unit", "chunk", "rank", "line", "d1", "d2", "first", "kept", "hashes", "pick", "tie", "up", "size")
 
 
 @pytest.fixture(scope="session")
@@ -25,7 +28,7 @@ def odd_texts():
 def odd_documents(spark, odd_texts):
     """doc_id, text and columns whose names clash with those that operators add."""
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()),
-                           *(T.StructField(c, T.StringType()) for c in ("n", "copy", "rate", "shard", "key", "component_id", "ids", "score"))])
-    rows = [(i, t, None if i % 5 == 0 else ("en" if i % 2 else "fr"), None if i % 4 == 0 else "s", None, *["x"] * 8) for i, t in enumerate(odd_texts)]
-    rows += [rows[6], (None, "a b c d e f g h", "en", "s", 1, *["x"] * 8)]
+                           *(T.StructField(c, T.StringType()) for c in CLASHING)])
+    rows = [(i, t, None if i % 5 == 0 else ("en" if i % 2 else "fr"), None if i % 4 == 0 else "s", None, *["x"] * len(CLASHING)) for i, t in enumerate(odd_texts)]
+    rows += [rows[6], (None, "a b c d e f g h", "en", "s", 1, *["x"] * len(CLASHING))]
     return spark.createDataFrame(rows, schema)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import posted_timestamp
-from ..functions.text import _entity_tables, html_to_text, strip_space, unescape_entities
+from ..functions.text import html_to_text, named_entity, strip_space, unescape_entities
 from ..registry import feed, register_feed
 from ..schema import place_of, to_postings
 
@@ -34,14 +34,11 @@ for _name, _map in {
 
 def repair_entities(xml: Column) -> Column:
     """Resolve named entities XML does not define; unknown names are dropped."""
-    table, _ = _entity_tables()
-    named = F.from_json(F.lit(table), "map<string,string>")
-
     def piece(p):
         name = F.regexp_extract(p, r"^&([A-Za-z][A-Za-z0-9]*;)", 1)
         rest = F.regexp_replace(p, r"^&[A-Za-z][A-Za-z0-9]*;", "")
         return (F.when((name == "") | name.isin("amp;", "lt;", "gt;", "quot;", "apos;"), p)
-                .otherwise(F.concat(F.coalesce(F.try_element_at(named, name), F.lit("")), rest)))
+                .otherwise(F.concat(F.coalesce(named_entity(name), F.lit("")), rest)))
     return F.when(xml.contains("&"), F.array_join(F.transform(F.split(xml, "(?=&)"), piece), "")).otherwise(xml)
 
 

@@ -108,6 +108,34 @@ def _(spark, sf):
     return text.match_terms(matched(spark, sf), spark.createDataFrame(VOCAB, "term string, kind string"))
 
 
+# every word of the titles and of the part names, every two neighbours in them, and "the", in all texts
+_NAMES = "SELECT n_title AS t FROM n UNION ALL SELECT lower(p_name) FROM part"
+_VOCABULARY = f""", cut AS (SELECT posting_id, 'b' AS side, regexp_extract_all(n_body, '[a-z0-9]+|[^a-z0-9]+') AS a FROM n
+    UNION ALL SELECT posting_id, 't', regexp_extract_all(n_title, '[a-z0-9]+|[^a-z0-9]+') FROM n),
+  pairs AS (SELECT posting_id, side, a[i] AS w, CASE WHEN a[i + 1] = ' ' AND a[i + 2] <> a[i] THEN a[i] || ' ' || a[i + 2] END AS ww
+    FROM (SELECT posting_id, side, a, unnest(range(1, len(a) + 1)) AS i FROM cut) WHERE regexp_matches(a[i], '[a-z0-9]')),
+  found AS (SELECT posting_id, side, w AS term, 'word' AS kind FROM pairs UNION ALL SELECT posting_id, side, ww, 'pair' FROM pairs WHERE ww IS NOT NULL),
+  named AS (SELECT regexp_extract_all(t, '[a-z0-9]+|[^a-z0-9]+') AS a FROM ({_NAMES})),
+  listed AS (SELECT a[i] AS w, CASE WHEN a[i + 1] = ' ' AND a[i + 2] <> a[i] THEN a[i] || ' ' || a[i + 2] END AS ww
+    FROM (SELECT a, unnest(range(1, len(a) + 1)) AS i FROM named) WHERE regexp_matches(a[i], '[a-z0-9]')),
+  vocabulary AS (SELECT w AS term, 'word' AS kind FROM listed UNION SELECT ww, 'pair' FROM listed WHERE ww IS NOT NULL UNION SELECT 'the', 'word')
+  SELECT posting_id, term, kind, bool_or(side = 't') AS in_title, bool_or(side = 'b') AS in_body, count(*) FILTER (WHERE side = 'b') AS n
+  FROM found JOIN vocabulary USING (term, kind) GROUP BY ALL"""
+
+
+@query("txt_4_match_vocabulary", S.select(_VOCABULARY, S.P, S.N))
+def _(spark, sf):
+    df = matched(spark, sf)
+    names = df.select(F.col("n_title").alias("t")).unionByName(read(spark, sf, "part").select(F.lower("p_name").alias("t")))
+    cut = names.select(F.regexp_extract_all("t", F.lit("([a-z0-9]+|[^a-z0-9]+)"), F.lit(1)).alias("a"))
+    at = cut.select("a", F.posexplode("a").alias("i", "w")).where(F.col("w").rlike("[a-z0-9]"))
+    nxt = F.get("a", F.col("i") + 2)
+    pair = F.when((F.get("a", F.col("i") + 1) == " ") & (nxt != F.col("w")), F.concat("w", F.lit(" "), nxt))
+    vocab = (at.select(F.col("w").alias("term"), F.lit("word").alias("kind")).unionByName(at.select(pair.alias("term"), F.lit("pair").alias("kind")))
+             .unionByName(spark.createDataFrame([("the", "word")], "term string, kind string")))
+    return text.match_terms(df, vocab)
+
+
 @query("txt_5_first_label", S.select(f"SELECT posting_id, {S.label('hay', fv.INDUSTRY, S.q('none'))} AS label FROM n", S.P, S.N))
 def _(spark, sf):
     return matched(spark, sf).select("posting_id", text.first_label(F.col("hay"), fv.INDUSTRY, "none").alias("label"))

@@ -110,6 +110,67 @@ def _(spark, sf):
     return df.select("title", "company", "location_raw", "url", stamp("posted_at").alias("posted"))
 
 
+# by remainder of the row: named before the posting, nested far below another object, in a list, nowhere, twice
+_REFERRED = "CASE seq % 5 WHEN 3 THEN 'Undisclosed' WHEN 4 THEN 'Last ' || seq ELSE 'Firm ' || seq END"
+
+
+@query("src_4_references", S.select(f"SELECT CAST(seq AS BIGINT) AS page, title, {_REFERRED} AS company FROM p", S.P))
+def _(spark, sf):
+    quoted = lambda c: F.to_json(F.struct(c.alias("v")))  # {"v":"..."}
+    post = F.concat(F.lit('{"@type":"JobPosting","title":'), F.regexp_extract(quoted(F.col("title")), r"(?s)^\{\"v\":(.*)\}$", 1), F.lit(',"hiringOrganization":'),
+                    F.when(F.col("seq") % 5 == 2, '[{"@id":"#o"},{"name":"Other"}]').otherwise('{"@id":"#o"}'), F.lit("}"))
+    firm = lambda word: F.concat(F.lit(f'{{"@id":"#o","name":"{word} '), "seq", F.lit('"}'))
+    graph = (F.when(F.col("seq") % 5 == 1, F.concat(F.lit('{"a":[{"b":{"publisher":{"worksFor":'), firm("Firm"), F.lit("}}}]},"), post))
+             .when(F.col("seq") % 5 == 3, F.concat(post, F.lit(',{"@id":"#o"},{"@id":"#other","name":"Other"}')))
+             .when(F.col("seq") % 5 == 4, F.concat(firm("First"), F.lit(","), post, F.lit(","), firm("Last"))).otherwise(F.concat(firm("Firm"), F.lit(","), post)))
+    html = F.concat(F.lit('<script id="x" type="application/LD+JSON">{"@graph":['), graph, F.lit(']}</script><script type="application/ld+json">[not json</script>'))
+    pages = base(spark, sf).select(F.col("seq").alias("page_id"), "url", html.alias("html"), F.lit("board").alias("platform"), F.lit("Board").alias("label"), F.lit("Ghana").alias("country"))
+    df = page_src.jsonld_postings(pages, RUN_OF(spark, sf))
+    return df.select((F.shiftright("seq", 20)).alias("page"), "title", "company")
+
+
+def advert_pages(spark, sf):
+    """A page for each posting: a posting of its own, one in a graph with two types, a list entry that only
+    nests a posting, or a bare container."""
+    markup = F.concat(F.lit("<p>"), "title", F.lit("</p><p>"), "company", F.lit("</p>"))
+    post = lambda kind: F.struct(kind.alias("@type"), markup.alias("description"), ISO().alias("datePosted"), F.array(F.lit("FULL_TIME"), F.lit("CONTRACTOR")).alias("employmentType"))
+    one = F.to_json(post(F.lit("JobPosting")))
+    two = F.to_json(F.struct(F.array(F.struct(F.lit("Person").alias("@type")).cast("struct<`@type`:string>")).alias("@graph")))
+    two = F.replace(two, F.lit('{"@type":"Person"}'), F.to_json(post(F.array(F.lit("JobPosting"), F.lit("Thing")))))
+    nested = F.concat(F.lit('{"@type":"ListItem","item":{"offer":'), one, F.lit("}}"))
+    script = F.when(F.col("seq") % 4 == 1, one).when(F.col("seq") % 4 == 2, two).when(F.col("seq") % 4 == 3, nested)
+    html = F.concat(F.coalesce(F.concat(F.lit('<script type="application/ld+json">'), script, F.lit("</script>")), F.lit("")),
+                    F.lit('<section class="x adp-body"><p>Kept: '), "title", F.lit("</p></section>"))
+    return base(spark, sf).select(F.col("seq").alias("page_id"), "url", html.alias("html"))
+
+
+_MARKED = "'<p>' || title || '</p><p>' || company || '</p>'"
+
+
+@query("src_4_advert_bodies", S.select(f"""SELECT seq AS page_id, CASE WHEN seq % 4 IN (1, 2) THEN {S.html_text(_MARKED)} ELSE {S.html_text("'<p>Kept: ' || title || '</p>'")} END AS body,
+  CASE WHEN seq % 4 IN (1, 2) THEN coalesce(strftime(posted_at, '%Y-%m-%dT%H:%M:%SZ'), '') ELSE '' END AS advert_posted,
+  CASE WHEN seq % 4 IN (1, 2) THEN 'Full Time, Contractor' ELSE '' END AS advert_employment, '' AS advert_applicants FROM p""", S.P))
+def _(spark, sf):
+    return page_src.advert_bodies(advert_pages(spark, sf))
+
+
+@query("src_4_offer_pages", S.select(f"""SELECT 'jobgether-' || seq AS source_id, title, CASE WHEN company = '' THEN 'Undisclosed' ELSE company END AS company,
+  CASE seq % 4 WHEN 0 THEN 'Oslo, or nearby' WHEN 1 THEN 'Ghana, Norway' WHEN 2 THEN 'Peru' ELSE 'Remote' END AS location_raw, 'Part Time' AS employment_type_raw,
+  'https://firm.example/' || seq AS company_website, {stamp_sql('posted_at')} AS posted FROM p""", S.P))
+def _(spark, sf):
+    where = lambda name, land: F.struct(name.alias("name"), F.struct(land.alias("addressCountry")).alias("address"))
+    none = F.lit(None).cast("string")
+    stated = F.when(F.col("seq") % 4 == 0, "<br>The offer is available from: Oslo, or nearby.").otherwise("")
+    places = F.when(F.col("seq") % 4 == 1, F.array(where(F.lit("Ghana"), F.lit("Norway")), where(none, F.lit("Ghana"))))
+    asked = F.when(F.col("seq") % 4 == 2, where(F.lit("Peru"), none))
+    body = F.struct(F.lit("JobPosting").alias("@type"), "title", F.concat("title", stated).alias("description"), F.lit("PART_TIME").alias("employmentType"), ISO().alias("datePosted"),
+                    F.struct(F.col("company").alias("name"), F.concat(F.lit("https://firm.example/"), "seq").alias("sameAs")).alias("hiringOrganization"),
+                    places.alias("jobLocation"), asked.alias("applicantLocationRequirements"))
+    html = F.concat(F.lit('<script type="application/ld+json">'), F.to_json(body), F.lit("</script>"))
+    pages = base(spark, sf).select(F.col("seq").alias("page_id"), F.concat(F.lit("https://offers.example/o/"), "seq").alias("url"), html.alias("html"))
+    return page_src.offer_pages(pages, RUN_OF(spark, sf)).select("source_id", "title", "company", "location_raw", "employment_type_raw", "company_website", stamp("posted_at").alias("posted"))
+
+
 @query("src_5_itemlist_links", S.select("SELECT 'board-https://x.example/' || seq AS source_id, title FROM p WHERE seq % 4 <> 0", S.P))
 def _(spark, sf):
     link = F.concat(F.when(F.col("seq") % 4 == 0, "http").otherwise("https"), F.lit("://x.example/"), "seq")

@@ -16,52 +16,97 @@ from ..schema import place_of, to_postings
 
 # ----------------------------------------------------------- structured data (JSON-LD)
 
-_NODES = "page_id bigint, block int, pos int, kind string, node_id string, body string"
+CARRIED = ("url", "platform", "label", "country")
 
 
 def ld_blocks(pages: DataFrame) -> DataFrame:
-    """(page_id, blocks): the ld+json scripts of every page, found JVM-side so that only they
-    cross to Python."""
+    """(page_id, the carried columns, blocks): the ld+json scripts of every page, found JVM-side so
+    that only they cross to Python."""
     blocks = F.regexp_extract_all("html", F.lit(fv.LD_JSON_BLOCK), F.lit(1))
-    return (pages.where(F.col("html").contains("ld+json"))
-            .select("page_id", blocks.alias("blocks")))
+    carried = [F.col(c).alias("page_url" if c == "url" else c) for c in CARRIED if c in pages.columns]
+    return pages.where(F.col("html").rlike(r"(?i)ld\+json")).select("page_id", *carried, blocks.alias("blocks"))
 
 
-def _nodes_of(data) -> Iterator[dict]:
-    """Every object of a document, depth first, in document order."""
-    stack = [data]
+def _objects(document, backwards: bool = False) -> Iterator[dict]:
+    """Every object of a document, outer ones first, siblings in document order or from the last."""
+    stack = [document]
     while stack:
         node = stack.pop()
         if isinstance(node, dict):
             yield node
             node = list(node.values())
         if isinstance(node, list):
-            stack.extend(x for x in reversed(node) if isinstance(x, (dict, list)))
-
-
-def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        out = []
-        for page, blocks in zip(batch["page_id"], batch["blocks"]):
-            at = 0  # objects are numbered through the page
-            for block, data in enumerate(blocks):
-                try:
-                    document = json.loads(data.strip())
-                except ValueError:
-                    continue
-                for pos, node in enumerate(_nodes_of(document), at):
-                    kind = str(node.get("@type") or "")
-                    name = node.get("@id") if isinstance(node.get("@id"), str) else None
-                    if kind in ("JobPosting", "ListItem") or (name and len(node) > 1):
-                        out.append((page, block, pos, kind, name, json.dumps(node)))
-                    at = pos + 1
-        yield pd.DataFrame(out, columns=["page_id", "block", "pos", "kind", "node_id", "body"])
+            inner = [x for x in node if isinstance(x, (dict, list))]
+            stack.extend(inner if backwards else reversed(inner))
+
+
+def _outer(document) -> set[int]:
+    """Identities of a document's own objects: its top ones and those of their graphs."""
+    top = [x for x in (document if isinstance(document, list) else [document]) if isinstance(x, dict)]
+    graphs = [g for g in (x.get("@graph") for x in top) if isinstance(g, list)]
+    return {id(x) for x in top} | {id(x) for g in graphs for x in g if isinstance(x, dict)}
+
+
+def _employer(node: dict, named: dict[str, dict]) -> dict:
+    org = node.get("hiringOrganization")
+    if isinstance(org, list):
+        org = org[0] if org else None
+    if not isinstance(org, dict):
+        return {}
+    return named.get(org["@id"], {}) if set(org) == {"@id"} and isinstance(org["@id"], str) else org
+
+
+def _read_block(document, first: int) -> tuple[list[tuple], int]:
+    """(pos, kind, outer, employer, body) of a document's postings, or of its list entries if it holds
+    no posting, and the number of the next object."""
+    objects = list(_objects(document))
+    kinds = [str(node.get("@type") or "") for node in objects]
+    outer, listing = _outer(document), "JobPosting" not in kinds
+    named: dict[str, dict] = {}
+    for node in _objects(document, backwards=True):  # of objects with one id the last sibling counts
+        if isinstance(node.get("@id"), str) and len(node) > 1:
+            named.setdefault(node["@id"], node)
+    out = []
+    for pos, (node, kind) in enumerate(zip(objects, kinds), first):
+        own = id(node) in outer
+        if kind == "JobPosting" or (own and "JobPosting" in kind):
+            out.append((pos, kind, own, json.dumps(_employer(node, named)), json.dumps(node)))
+        elif listing and kind == "ListItem":
+            out.append((pos, kind, own, None, json.dumps(node)))
+    return out, first + len(objects)
 
 
 def ld_nodes(pages: DataFrame) -> DataFrame:
-    """The recursive walk is the one Python stage: a document's nesting has no bound that a
-    column expression could unroll. Everything after it is columns again."""
-    return ld_blocks(pages).mapInPandas(_walk, _NODES).withColumn("node", F.try_parse_json("body"))
+    """(page_id, the carried columns, block, pos, kind, is_outer, employer, node): postings and list
+    entries. The recursive walk is the one Python stage and runs once a page: a document's nesting has no
+    bound that a column expression could unroll. It also follows an employer given as a bare @id, and
+    takes the page's own columns along, so nothing is joined or shuffled. A script that is not JSON, or
+    nested deeper than Python's stack, gives no node."""
+    found = ld_blocks(pages)
+    carried = found.columns[1:-1]
+    names = ["page_id", *carried, "block", "pos", "kind", "is_outer", "employer", "body"]
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for *page, blocks in batch.itertuples(index=False, name=None):
+                at = 0  # objects are numbered through the page
+                for block, data in enumerate(blocks):
+                    try:
+                        rows, at = _read_block(json.loads(data.strip()), at)
+                    except (ValueError, RecursionError):
+                        continue
+                    out.extend((*page, block, *row) for row in rows)
+            yield pd.DataFrame(out, columns=names)
+    shape = ", ".join(["page_id bigint", *[f"{c} string" for c in carried], "block int", "pos int", "kind string", "is_outer boolean", "employer string", "body string"])
+    nodes = found.mapInPandas(walk, shape)
+    return nodes.withColumn("node", F.try_parse_json("body")).withColumn("employer", F.try_parse_json("employer"))
+
+
+def _first_posting(pages: DataFrame, test: Column) -> DataFrame:
+    """(page_id, body): the first object of its own that passes, for each page that has one."""
+    nodes = ld_nodes(pages.select("page_id", "html")).where(F.col("is_outer") & test)
+    return nodes.groupBy("page_id").agg(F.min(F.struct("block", "pos", "body")).alias("f")).select("page_id", "f.body")
 
 
 def _text(path: str, v="node") -> Column:
@@ -70,26 +115,15 @@ def _text(path: str, v="node") -> Column:
 
 def jsonld_postings(pages: DataFrame, run_ts: Column) -> DataFrame:
     """pages(page_id, url, html, platform, label, country). An employer given as a bare @id
-    reference is resolved against the same document by an equi-join."""
-    nodes = ld_nodes(pages)
-    posting = nodes.where("kind = 'JobPosting'")
-    org = F.coalesce(F.try_variant_get("node", "$.hiringOrganization[0]", "variant"), F.try_variant_get("node", "$.hiringOrganization", "variant"))
-    posting = posting.select("page_id", "block", "pos", "node", org.alias("org"))
-    ref = F.when(F.to_json("org").rlike(r'^\{"@id":"[^"]*"\}$'), F.try_variant_get("org", "$['@id']", "string"))
-    posting = posting.withColumn("ref", ref)
-    named = (nodes.where("node_id is not null").groupBy("page_id", "block", F.col("node_id").alias("ref"))
-             .agg(F.min_by(F.col("body"), "pos").alias("target")))
-    joined = posting.join(named, ["page_id", "block", "ref"], "left")
-    target = F.try_parse_json("target")
-    name = strip_space(F.when(F.col("ref").isNotNull(), F.coalesce(F.try_variant_get(target, "$.name", "string"), F.lit("")))
-                       .otherwise(_text("$.name", "org")))
+    reference is the object of the same document that declares the id."""
+    joined = ld_nodes(pages).where("kind = 'JobPosting'")
+    name = strip_space(_text("$.name", "employer"))
     company = F.when((name == "") | name.rlike(fv.HIDDEN_EMPLOYER), "Undisclosed").otherwise(name)
     place = F.coalesce(F.try_variant_get("node", "$.jobLocation[0].address", "variant"), F.try_variant_get("node", "$.jobLocation.address", "variant"))
     part = lambda p: F.nullif(F.try_variant_get(place, f"$.{p}", "string"), F.lit(""))
     where = F.concat_ws(", ", *[F.when(~part(p).startswith("{") & ~part(p).startswith("["), part(p))
                                 for p in ("addressLocality", "addressRegion", "addressCountry")])
     title = strip_space(_text("$.title"))
-    joined = joined.join(pages.select("page_id", F.col("url").alias("page_url"), "platform", "country"), "page_id")
     url = F.coalesce(F.nullif(_text("$.url"), F.lit("")), "page_url")
     out = joined.where(title != "").select(
         _page_seq().alias("seq"),
@@ -110,10 +144,7 @@ def _stamped(out: DataFrame, source: str) -> DataFrame:
 
 def itemlist_links(pages: DataFrame) -> DataFrame:
     """List entries of blocks that hold no posting: https link and name, marked truncated."""
-    nodes = ld_nodes(pages)
-    with_posting = nodes.where("kind = 'JobPosting'").select("page_id", "block").distinct()
-    items = nodes.where("kind = 'ListItem'").join(with_posting, ["page_id", "block"], "left_anti")
-    items = items.join(pages.select("page_id", "platform", "label", "country"), "page_id")
+    items = ld_nodes(pages).where("kind = 'ListItem'")
     url, title = strip_space(_text("$.item.url")), strip_space(_text("$.item.name"))
     out = items.where(url.startswith("https://") & (title != "")).select(
         _page_seq().alias("seq"), F.concat("platform", F.lit("-"), url).alias("source_id"), title.alias("title"), F.col("label").alias("company"),
@@ -125,9 +156,8 @@ def itemlist_links(pages: DataFrame) -> DataFrame:
 def advert_bodies(pages: DataFrame) -> DataFrame:
     """(page_id, body, advert_posted, advert_employment, advert_applicants) of fetched advert
     pages: the first posting block, else a known body container."""
-    nodes = ld_nodes(pages).where("kind = 'JobPosting'")
-    first = nodes.groupBy("page_id").agg(F.min(F.struct("block", "pos", "body")).alias("f"))
-    n = F.try_parse_json("f.body")
+    first = _first_posting(pages, F.col("kind").contains("JobPosting"))
+    n = F.try_parse_json("body")
     kinds = F.try_variant_get(n, "$.employmentType", "array<string>")
     employment = F.coalesce(F.array_join(kinds, ", "), F.try_variant_get(n, "$.employmentType", "string"), F.lit(""))
     read = first.select("page_id", html_to_text(F.try_variant_get(n, "$.description", "string")).alias("_b"),
@@ -229,8 +259,8 @@ def html_detail(pages: DataFrame) -> DataFrame:
 
 def offer_pages(pages: DataFrame, run_ts: Column) -> DataFrame:
     """Aggregator offer pages: the posting block, with the location stated in the body first."""
-    first = ld_nodes(pages).where("kind = 'JobPosting'").groupBy("page_id").agg(F.min(F.struct("block", "pos", "body")).alias("f"))
-    n = F.try_parse_json("f.body")
+    first = _first_posting(pages, F.col("kind") == "JobPosting")
+    n = F.try_parse_json("body")
     read = lambda p: F.coalesce(F.try_variant_get(n, p, "string"), F.lit(""))
     df = pages.select("page_id", "url").join(first, "page_id").select(
         "page_id", "url", n.alias("node"), html_to_text(read("$.description")).alias("description"), read("$.title").alias("title"),

@@ -59,41 +59,44 @@ def stream_dedupe(stream: DataFrame, days: int) -> DataFrame:
     return keyed.withWatermark("posted_at", f"{days} days").dropDuplicatesWithinWatermark(["fingerprint"])
 
 
-_STATE = "kept_at long, waiting binary"
+_STATE = "held binary"
 
 
-def stream_first_seen(stream: DataFrame, key: str, at: str, order: str, horizon: timedelta, lateness: timedelta) -> DataFrame:
+def stream_first_seen(stream: DataFrame, key: str, at: str, order: str, horizon: timedelta, lateness: timedelta, buckets: int = 256) -> DataFrame:
     """The rows of a stream that are not repeats, by their own time and not by when they arrive: of a
     key's rows, in order of `at` and then `order`, one stays and those less than `horizon` after it go.
     A row waits until no earlier one can arrive, `lateness` after the newest; what comes later than that is dropped.
 
-    A key's state is the time of its last kept row and its rows that wait, so it is bounded by what the
-    key has within the lateness; it is let go when the horizon has passed. Rows without a key or a time repeat nothing and stay."""
+    Keys (of a plain type) are dealt to `buckets` by hash and a bucket is judged at once, so a batch costs a call for
+    each bucket and not for each key. A bucket's state is the time of the last kept row of each of its keys, let go
+    when the horizon has passed, and its rows that wait, so it is bounded by what the bucket has within horizon and
+    lateness. Rows without a key or a time repeat nothing and stay."""
     whole = F.col(key).isNotNull() & F.col(at).isNotNull()
-    span = int(horizon / timedelta(microseconds=1))
+    span, columns = int(horizon / timedelta(microseconds=1)), stream.columns
 
     def step(_, frames, state):
-        kept_at, waiting = state.get if state.exists else (None, None)
-        rows = pd.concat([*([pickle.loads(waiting)] if waiting else []), *frames], ignore_index=True)
+        kept, waiting = pickle.loads(state.get[0]) if state.exists else ({}, None)
+        rows = pd.concat([*([] if waiting is None else [waiting]), *(f[columns] for f in frames)], ignore_index=True)
         final = state.getCurrentWatermarkMs() * 1000
         times = rows[at].astype("datetime64[us]").astype("int64")
         done = rows.assign(_at=times)[times <= final].sort_values(["_at", order], kind="stable")
         stays = []
-        for t in done["_at"]:
-            stays.append(kept_at is None or t - kept_at >= span)
-            kept_at = t if stays[-1] else kept_at
-        left, ends = rows[times > final], None
-        if len(left):
-            ends = -(-int(times[times > final].min()) // 1000)
-        elif kept_at is not None and kept_at + span > final:
-            ends = -(-(kept_at + span) // 1000)
-        if ends is None:
+        for k, t in zip(done[key].tolist(), done["_at"].tolist()):
+            last = kept.get(k)
+            stays.append(last is None or t - last >= span)
+            if stays[-1]:
+                kept[k] = t
+        left = rows[times > final]
+        kept = {k: t for k, t in kept.items() if t + span > final}
+        ends = [*([int(times[times > final].min())] if len(left) else []), *([min(kept.values()) + span] if kept else [])]
+        if not ends:
             state.remove()
         else:
-            state.update((None if kept_at is None else int(kept_at), pickle.dumps(left) if len(left) else None))
-            state.setTimeoutTimestamp(max(ends, final // 1000 + 1))
+            state.update((pickle.dumps((kept, left if len(left) else None)),))
+            state.setTimeoutTimestamp(max(-(-min(ends) // 1000), final // 1000 + 1))
         yield done[pd.Series(stays, index=done.index, dtype=bool)].drop(columns="_at")
 
     timed = stream.where(whole).withWatermark(at, f"{int(lateness / timedelta(milliseconds=1))} milliseconds")
-    kept = timed.groupBy(key).applyInPandasWithState(step, stream.schema, _STATE, "append", "EventTimeTimeout")
+    dealt = timed.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)))
+    kept = dealt.groupBy("_bucket").applyInPandasWithState(step, stream.schema, _STATE, "append", "EventTimeTimeout")
     return kept.unionByName(stream.where(~whole))

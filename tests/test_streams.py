@@ -67,3 +67,20 @@ def test_first_seen_out_of_order_with_bounded_state(spark):
     held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
     # 4,041 keys in all; within horizon and lateness of a moment there are 40 and some 220, and a file spans a few days
     assert max(held) < 1200 and held[-1] < 20
+
+
+def test_many_keys_share_the_calls_of_few_buckets(spark):
+    root, start = tempfile.mkdtemp(prefix="spark-"), datetime(2024, 1, 1)
+    horizon, lateness = timedelta(days=2), timedelta(hours=6)
+    rows = [(i, f"k{i % 900}", start + timedelta(minutes=i)) for i in range(5400)]
+    schema = "id long, k string, at timestamp"
+    for a in range(0, len(rows), 2700):
+        spark.createDataFrame(rows[a:a + 2700], schema).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    query = (stream_first_seen(stream, "k", "at", "id", horizon, lateness, buckets=8).writeStream.format("parquet").option("path", f"{root}/out")
+             .option("checkpointLocation", f"{root}/c").trigger(availableNow=True).start())
+    query.awaitTermination()
+    final = rows[-1][2] - lateness
+    got = {r.id for r in spark.read.schema(schema).parquet(f"{root}/out").collect()}
+    assert got == {i for i in first_seen(rows, horizon) if rows[i][2] <= final}
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) == 8

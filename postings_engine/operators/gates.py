@@ -125,12 +125,12 @@ def keep_prospects(df: DataFrame, prof: SearchProfile) -> DataFrame:
     return df.where(is_kept_prospect(prof, normalise(F.col("title"))))
 
 
-def latest_crawl(crawl: DataFrame) -> DataFrame:
-    """One row per URL, the latest; max_by combines on the map side, so a URL crawled very
-    often is reduced before it is shuffled."""
-    return crawl.groupBy("url").agg(
-        F.max_by(F.struct("status", "body"), "fetched_at").alias("page")
-    ).select("url", "page.status", "page.body")
+def latest_crawl(crawl: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """One row per URL (and `also`), the latest, of equally late ones the largest status and body;
+    the maximum combines on the map side, so a URL crawled very often is reduced before it is shuffled."""
+    return crawl.groupBy("url", *also).agg(
+        F.max(F.struct("fetched_at", "status", "body")).alias("page")
+    ).select("url", *also, "page.status", "page.body")
 
 
 def closed_phrase(body: Column) -> Column:
@@ -142,15 +142,16 @@ def closed_phrase(body: Column) -> Column:
     return F.get(found, F.lit(0))
 
 
-def drop_closed(leads: DataFrame, crawl: DataFrame) -> DataFrame:
+def drop_closed(leads: DataFrame, crawl: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     """Adds `closed` and `closed_reason`, and a concern where the advert could not be
     re-read. The closed-phrase scan runs once per crawled page, before the join, so a page
-    many leads point at is not scanned again for each and its body is not shuffled."""
-    pages = latest_crawl(crawl).select(
-        F.col("url").alias("_url"), "status", closed_phrase(F.col("body")).alias("_phrase"))
+    many leads point at is not scanned again for each and its body is not shuffled. Pages
+    that share a URL are told apart by the columns `also`, which both tables have."""
+    pages = latest_crawl(crawl, also).select(
+        F.col("url").alias("_url"), *also, "status", closed_phrase(F.col("body")).alias("_phrase"))
     link = F.when(F.coalesce(F.col("application_url"), F.lit("")) != "", F.col("application_url")) \
         .otherwise(F.col("original_job_url"))
-    joined = leads.withColumn("_link", link).withColumn("_url", spread_blank(F.col("_link"), "_link" if "posting_id" not in leads.columns else "posting_id")).join(pages, "_url", "left")
+    joined = leads.withColumn("_link", link).withColumn("_url", spread_blank(F.col("_link"), "_link" if "posting_id" not in leads.columns else "posting_id")).join(pages, ["_url", *also], "left")
     gone = F.col("status").isin(404, 410)
     unread = (F.col("_link") != "") & (F.col("status").isNull() | ~F.col("status").isin(200, 404, 410))
     phrase = F.when(F.col("status") == 200, F.col("_phrase"))
@@ -162,10 +163,11 @@ def drop_closed(leads: DataFrame, crawl: DataFrame) -> DataFrame:
             .drop("_url", "_link", "status", "_phrase"))
 
 
-def clear_dead_links(leads: DataFrame, crawl: DataFrame) -> DataFrame:
-    """Blank guessed careers pages whose crawl did not answer 200; each URL is one row."""
-    alive = latest_crawl(crawl).where("status = 200").select(F.col("url").alias("_page"), F.lit(True).alias("_ok"))
+def clear_dead_links(leads: DataFrame, crawl: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """Blank guessed careers pages whose crawl did not answer 200; each URL is one row, or each page where
+    the columns `also` tell pages of one URL apart."""
+    alive = latest_crawl(crawl, also).where("status = 200").select(F.col("url").alias("_page"), *also, F.lit(True).alias("_ok"))
     by = next((c for c in ("posting_id", "seq") if c in leads.columns), leads.columns[0])
-    joined = leads.withColumn("_page", spread_blank(F.col("careers_page"), by)).join(alive, "_page", "left")
+    joined = leads.withColumn("_page", spread_blank(F.col("careers_page"), by)).join(alive, ["_page", *also], "left")
     dead = F.col("careers_page_guessed") & (F.col("careers_page") != "") & F.col("_ok").isNull()
     return joined.withColumn("careers_page", F.when(dead, "").otherwise(F.col("careers_page"))).drop("_ok", "_page")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions.dates import posted_timestamp
-from ..functions.text import (bare_host, html_to_text, mentions, no, records, strip_space, truncated,
+from ..functions.text import (ascii_bounds, bare_host, html_to_text, mentions, no, records, strip_space, truncated,
                               unescape_entities, url_host, url_path, url_scheme)
 from .skew import spread_blank
 
@@ -19,7 +19,8 @@ def blank_to_null(c: Column) -> Column:
 
 
 def best_email(c: Column) -> Column:
-    trimmed = F.transform(F.regexp_extract_all(c, F.lit(f"({fv.EMAIL})"), F.lit(1)),
+    # bounds of ASCII words: a letter that no address can hold ends one, it does not cut its host short
+    trimmed = F.transform(F.regexp_extract_all(c, F.lit(f"({ascii_bounds(fv.EMAIL)})"), F.lit(1)),
                           lambda e: F.regexp_replace(e, r"^[.,;:]+|[.,;:]+$", ""))
     low = F.lower
     usable = F.filter(trimmed, lambda e: ~low(e).rlike(r"\.(?:" + "|".join(s[1:] for s in fv.ASSET_SUFFIXES) + ")$")

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import given_back
 from .hashing import ALNUM_OR_HIGH, U, mix, text_pieces, words
 
 #: Words of one automaton. More items are cut into several, used one after the other.
@@ -235,6 +236,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, passe
     kinds = {f.name: f.dataType.simpleString() for f in docs.select(*passed).schema}
     span = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
 
+    @given_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for lo, n_words, hits in find_windows(rows.column(len(passed)), shared.value):
@@ -256,6 +258,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, most_
     shared = docs.sparkSession.sparkContext.broadcast(build(benchmark, window))
     place = docs.columns.index("text")
 
+    @given_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             texts, keep, changed = rows.column(place), np.ones(rows.num_rows, bool), {}

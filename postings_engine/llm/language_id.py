@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import given_back
 from .hashing import text_pieces
 
 UNIT = 1024
@@ -138,6 +139,7 @@ def build_model(grams: dict[str, tuple[np.ndarray, np.ndarray]], order: int = OR
 
 def count_grams(labelled: DataFrame, order: int) -> DataFrame:
     """labelled(lang, text) -> (lang, gram, times) over whole texts."""
+    @given_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             langs = rows.column(0).to_pylist()
@@ -209,6 +211,7 @@ def keep_recognised(docs: DataFrame, labelled: DataFrame, least_score: float = 0
         return docs
     shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
+    @given_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             lang, score, bits = judge(shared.value, rows.column(place))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, batch
+from .common import Scratch, batch, given_back
 from .components import components
 from .hashing import U, digests, mix, row_sums, shingles, text_pieces, words
 from .prefilter import narrowed
@@ -101,6 +101,7 @@ def segment_keys(values: np.ndarray, at: np.ndarray, classes: SizeClasses) -> tu
 def shingle_sets(docs: DataFrame, width: int, wider: int = 0) -> DataFrame:
     """(doc_id, n, d1, d2, mark): size of each row's set, two digests and a bitmap of it, doubled
     `wider` times."""
+    @given_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for lo, hi, data, offsets in text_pieces(rows.column(1)):
@@ -113,6 +114,7 @@ def shingle_sets(docs: DataFrame, width: int, wider: int = 0) -> DataFrame:
 
 def _entries(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """(key, node = d1) of every document's segments; a task writes equal sets once."""
+    @given_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, known = SizeClasses(num, den), set()
         for rows in batches:
@@ -136,6 +138,7 @@ def _entries(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
 def _hashed(members: DataFrame, width: int) -> DataFrame:
     """members(id, d1, d2, spots, text) -> (tile, side, id, hashes), a row for each of its spots in
     the tiles, of the rows whose text has the digests that are asked for."""
+    @given_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for lo, hi, data, offsets in text_pieces(rows.column(4)):

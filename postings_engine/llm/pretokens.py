@@ -25,8 +25,9 @@ _latin = np.array([LETTER if chr(c).isalpha() else NUMBER if chr(c) in NUMBERS e
 #: First bytes of what makes a text go through the library as a whole, with C2 and C9 only before some.
 _odd = np.zeros(256, bool)
 _odd[[*range(0x1C, 0x20), 0xC2, 0xC9, *range(0xCA, 0x100)]] = True
-#: Longer pieces are not remembered; more pieces than these are forgotten together.
-LONGEST, MOST_PIECES = 64, 1 << 20
+#: Longer pieces are not remembered; more pieces than these, which fill 0.7 of a table of 2^20 slots, are
+#: forgotten together.
+LONGEST, MOST_PIECES = 64, 700_000
 EMPTY = U(0)
 
 
@@ -71,16 +72,17 @@ class PieceTokenizer:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.own = Tokenizer.from_file(path)
-        rule = json.loads(self.own.to_str())
-        split = rule["pre_tokenizer"] or {}
-        self.plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and rule["normalizer"] is None
-        self.special = re.compile(b"|".join(re.escape(t["content"].encode()) for t in rule["added_tokens"]) or b"(?!)")
+        # asked by parts: the whole rule would be a copy of the vocabulary in each worker
+        split = json.loads(self.own.pre_tokenizer.__getstate__()) if self.own.pre_tokenizer else {}
+        self.plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and self.own.normalizer is None
+        added = self.own.get_added_tokens_decoder().values()
+        self.special = re.compile(b"|".join(re.escape(t.content.encode()) for t in added) or b"(?!)")
         self.forget()
 
     def forget(self) -> None:
         self.count, self.used = 0, 0
         self.keys, self.first = np.zeros(1 << 16, U), np.zeros(1 << 16, U)
-        self.at, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        self.at, self.size = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.uint8)
         self.ids = np.zeros(1 << 18, np.int32)
 
     def whole(self, text: str) -> np.ndarray:
@@ -129,7 +131,7 @@ class PieceTokenizer:
             _, one = np.unique(key[miss], return_index=True)
             self._learn(data, start[miss[one]], size[miss[one]], key[miss[one]], first[miss[one]])
             slot = self._find(key, first)  # the table may have been built anew
-        at, n = self.at[slot], self.size[slot].astype(np.int64)
+        at, n = self.at[slot].astype(np.int64), self.size[slot].astype(np.int64)
         ids = self.ids
         long = np.flatnonzero(slot < 0)  # unknown ones: longer pieces, or two with one key
         if len(long):
@@ -179,7 +181,7 @@ class PieceTokenizer:
     def _learn(self, data, start, size, key, first) -> None:
         if self.count + len(key) > MOST_PIECES:
             self.forget()
-        while (self.count + len(key)) * 2 > len(self.keys):
+        while (self.count + len(key)) * 10 > len(self.keys) * 7:
             self._grow()
         found = [self.own.encode(data[a: a + n].tobytes().decode(), add_special_tokens=False).ids for a, n in zip(start.tolist(), size.tolist())]
         lens = np.array([len(f) for f in found], np.int32)
@@ -194,7 +196,7 @@ class PieceTokenizer:
         full = np.flatnonzero(self.keys != EMPTY)
         old = self.keys[full], self.first[full], self.at[full], self.size[full]
         n = 2 * len(self.keys)
-        self.keys, self.first, self.at, self.size, self.count = np.zeros(n, U), np.zeros(n, U), np.zeros(n, np.int64), np.zeros(n, np.int32), 0
+        self.keys, self.first, self.at, self.size, self.count = np.zeros(n, U), np.zeros(n, U), np.zeros(n, np.int32), np.zeros(n, np.uint8), 0
         self._put(*old)
 
     def _put(self, key, first, at, size) -> None:

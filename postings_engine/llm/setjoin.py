@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, given_back
 
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 #: Hashes in one side of a tile: 3 MB. A smaller set counts as LEAST hashes, which bounds the sets.
@@ -39,6 +39,7 @@ def shared_keys(entries: DataFrame, held: int = HELD) -> DataFrame:
     kept = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("block", pa.int64())])
     size = max(1, held // 2)
 
+    @given_back
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # what is open at a batch's end: the last key, its last node, its number of nodes
         open_key = open_last = None
@@ -144,6 +145,7 @@ def likely_links(shared: DataFrame, signatures: DataFrame, num: int, den: int) -
             return ()  # the sizes alone keep them apart
         return forest(nodes, sizes, raw)
 
+    @given_back
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, group = None, ([], [], [])
         for rows in batches:
@@ -271,6 +273,7 @@ def verify(rows: DataFrame, num: int, den: int, read: Callable[[list[bytes]], li
         out = low != sets.ids
         return pa.RecordBatch.from_arrays([pa.array(sets.ids[out]), pa.array(low[out])], schema=LINKS) if out.any() else None
 
+    @given_back
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile, ids, sides, values = None, [], [], []
         for rows in batches:

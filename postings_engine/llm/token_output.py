@@ -22,10 +22,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .common import Scratch
+from .common import Scratch, given_back
 from .hashing import text_pieces
 from .pretokens import shared_tokenizer
 
+#: Bytes of text whose pieces are looked up at once.
+PIECE = 1 << 18
 FORMAT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("place", T.LongType()),
                        T.StructField("first", T.LongType()), T.StructField("n_ids", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
 
@@ -33,10 +35,11 @@ FORMAT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("par
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, parts: int | None = None, bloom_fpp: float = 0.01) -> None:
     """Writes docs(doc_id, text) in the format above to `path`. tokenizer: path of the file, the same
     on every executor."""
+    @given_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, place, first = shared_tokenizer(tokenizer), 0, 0
         for rows in batches:
-            for lo, hi, data, offsets in text_pieces(rows.column(1)):
+            for lo, hi, data, offsets in text_pieces(rows.column(1), PIECE):
                 ids, at = encoder.encode(data, offsets, end_id)
                 n = hi - lo
                 runs = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))
@@ -66,6 +69,7 @@ def crc32_of_ids(rows: DataFrame, passed: tuple[str, ...] = ("doc_id", "start"))
     """(*passed, n_tokens, ids_crc32) of rows(ids, *passed)."""
     kinds = {f.name: f.dataType.simpleString() for f in rows.select(*passed).schema}
 
+    @given_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             ids = rows.column(len(passed))
